@@ -291,7 +291,7 @@ def supply_edges(t: Tables) -> DataFrame:
 
     Every line is an edge by itself, so no pairs are formed within an order.
     """
-    lines = t.lineitem.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 48))
+    lines = t.lineitem.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45))
     part = F.col("l_partkey") * 2
     supplier = F.col("l_suppkey") * 2 + 1
     both = F.array(
@@ -301,9 +301,9 @@ def supply_edges(t: Tables) -> DataFrame:
 
 
 SUPPLY_EDGES = """supply_edges AS (
-    SELECT l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 48
+    SELECT l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45
     UNION ALL
-    SELECT l_suppkey * 2 + 1, l_partkey * 2 FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 48)"""
+    SELECT l_suppkey * 2 + 1, l_partkey * 2 FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)"""
 
 
 def supply_names(t: Tables) -> DataFrame:

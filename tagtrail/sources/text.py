@@ -62,10 +62,8 @@ def read_adjacency(spark: SparkSession, path: str, delimiter: str = r"\s+") -> D
         spark.read.text(path)
         .select(tokens.alias("_t"))
         .where(F.size("_t") > 1)
-        .select(
-            F.get("_t", 0).cast("long").alias("src"),
-            F.explode(F.slice("_t", F.lit(2), F.size("_t") - 1)).cast("long").alias("dst"),
-        )
+        .select(F.get("_t", 0).alias("src"), F.explode(F.slice("_t", F.lit(2), F.size("_t") - 1)).alias("dst"))
+        .select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
     )
 
 
