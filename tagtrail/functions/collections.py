@@ -29,12 +29,18 @@ def tail(array: Column | str) -> Column:
 
 
 def in_groups(array: Column | str, n: int, separator: str = ",") -> Column:
-    """Cut an array into runs of ``n`` and join each with ``separator``, in order."""
-    array = col(array)
-    starts = F.when(F.size(array) > 0, F.sequence(F.lit(1), F.size(array), F.lit(n))).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.transform(starts, lambda at: F.array_join(F.slice(array, at, F.lit(n)), separator))
+    """Cut an array into runs of ``n`` and join each with ``separator``, in order.
+
+    The outer lambda binds the array, so it is computed once per row and not once per run.
+    """
+
+    def cut(whole: Column) -> Column:
+        starts = F.when(F.size(whole) > 0, F.sequence(F.lit(1), F.size(whole), F.lit(n))).otherwise(
+            F.array().cast("array<int>")
+        )
+        return F.transform(starts, lambda at: F.array_join(F.slice(whole, at, F.lit(n)), separator))
+
+    return F.get(F.transform(F.array(col(array)), cut), 0)
 
 
 def looked_up(mapping: Column | str, key: Column | str, default) -> Column:

@@ -54,14 +54,17 @@ def history_vector(df: DataFrame, key: str, place: str, ts: str, n: int = 7) ->
 
     Events first shrink to one row per (key, place, day); the rest works on those.
     """
-    daily = df.groupBy(key, place, F.to_date(ts).alias("_day")).agg(F.max(ts).alias("last_ts"))
+    known = df.where(F.col(key).isNotNull() & F.col(place).isNotNull())
+    daily = known.groupBy(key, place, F.to_date(ts).alias("_day")).agg(F.max(ts).alias("last_ts"))
     last = latest_rows(daily, key, [F.col("last_ts").desc(), F.col(place).asc()]).withColumnRenamed(
         "_day", "_last_day"
     )
-    visits = daily.select(key, place, "_day")
+    # Both sides keep the same columns, so Spark shuffles the daily rows once and reuses them.
+    visits = daily.withColumnRenamed("last_ts", "_seen")
     back = F.datediff("_last_day", "_day")
     return (
         last.join(visits, [key, place])
+        .where(F.col("_seen") <= F.col("last_ts"))
         .groupBy(key, place, "last_ts")
         .agg(*[F.max(flag(back == i)).alias(f"day_{i}") for i in range(1, n + 1)])
     )

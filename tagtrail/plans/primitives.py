@@ -742,8 +742,8 @@ def _arrays(t):
 
 @query(
     "array_groups",
-    """SELECT doc_id, array_to_string(list_slice(words, at, at + 2), ',') AS line, CAST((at - 1) // 3 AS INTEGER) AS line_no
-    FROM (SELECT doc_id, words, unnest(generate_series(1, len(words), 3)) AS at
+    """SELECT doc_id, array_to_string(list_slice(words, pos, pos + 2), ',') AS line, CAST((pos - 1) // 3 AS INTEGER) AS line_no
+    FROM (SELECT doc_id, words, unnest(generate_series(1, len(words), 3)) AS pos
           FROM (SELECT doc_id, string_split(text, ' ') AS words FROM documents))""",
 )
 def _groups(t):
