@@ -52,9 +52,10 @@ def hours_between(start: Column | str, end: Column | str) -> Column:
 
 
 def minute_index(ts: Column | str) -> Column:
-    """Minutes since 1970 on the local clock: rises with ``ts`` and needs no zone."""
-    ts = col(ts)
-    return F.unix_date(F.to_date(ts)).cast("long") * 1440 + F.hour(ts) * 60 + F.minute(ts)
+    """Whole minutes since 1970. Never falls as ``ts`` rises, across changes of the clock too."""
+    gap = col(ts) - moment("1970-01-01 00:00:00")
+    days, hours, minutes = (F.extract(F.lit(unit), gap) for unit in ("DAY", "HOUR", "MINUTE"))
+    return days.cast("long") * 1440 + hours * 60 + minutes.cast("long")
 
 
 def recency(ts: Column | str) -> Column:

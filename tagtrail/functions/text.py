@@ -42,8 +42,8 @@ def present(c: Column | str, *blanks: str) -> Column:
 
 
 def words(c: Column | str) -> Column:
-    """Upper-cased ``\\W+`` tokens without empty ones."""
-    return F.filter(F.split(F.upper(col(c)), r"\W+"), lambda w: w != "")
+    """Upper-cased ``\\W+`` tokens, with an empty one where the text starts or ends with a separator."""
+    return F.split(F.upper(col(c)), r"\W+")
 
 
 def prefix(c: Column | str, n: int) -> Column:

