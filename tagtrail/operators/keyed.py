@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 Names = str | Iterable[str]
 
 HOT_SHARE = 1e-5
-HOT_ROWS = 1_000_000
+HOT_ROWS = 5_000_000
 LIST_LIMIT = 10_000
 
 

@@ -61,7 +61,7 @@ def with_neighbour(
 
     border = F.col(ts).desc() if direction == "prev" else F.col(ts).asc()
     heads = latest_rows(
-        df.join(F.broadcast(hot), key).withColumn("_slice", at),
+        df.join(F.broadcast(hot), key, "left_semi").withColumn("_slice", at),
         part,
         [border, *[F.col(c).asc() for c in tie]],
     )
