@@ -15,7 +15,8 @@ def hash_partition(df: DataFrame, key: Names, n: int | None = None) -> DataFrame
     """Partition by key. Without ``n`` adaptive execution sizes the partitions.
 
     A grouping or join on the key reuses it. A key with a large share of the
-    rows makes one large partition, so use it only on keys known to be even.
+    rows makes one large partition, so use it on even keys or on rows that are
+    already combined per key.
     """
     return df.repartition(*names(key)) if n is None else df.repartition(n, *names(key))
 

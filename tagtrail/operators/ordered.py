@@ -29,8 +29,10 @@ def with_neighbour(
     """Add ``out``, a struct of the ``carry`` columns of the neighbouring event of the same key.
 
     Events of one key at one time collapse to the one with the smallest
-    ``tie`` columns. ``out`` is null for the first (or last) event. Pass
-    ``hot_share=None`` where keys are known to be small, to save the count.
+    ``tie`` columns. ``out`` is null for the first (or last) event. ``df`` is
+    read twice, and a third time for hot keys only, so materialize it first if
+    it is costly to derive. Pass ``hot_share=None`` where keys are known to be
+    small, to save the count.
     """
     key, carry, tie = names(key), names(carry), names(tie)
     step = {"prev": F.lag, "next": F.lead}[direction]

@@ -770,7 +770,9 @@ def _maps(t):
 
 @query("hash_partitioned_count", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1")
 def _partitioned(t):
-    return keyed.count_by(hash_partition(t.orders.select("o_custkey"), "o_custkey"), "o_custkey")
+    # Counts combine before the explicit partitioning, which the last grouping then reuses.
+    counted = keyed.count_by(t.orders, ["o_custkey", "o_orderstatus"])
+    return hash_partition(counted, "o_custkey").groupBy("o_custkey").agg(F.sum("n").alias("n"))
 
 
 @query(
@@ -786,5 +788,5 @@ def _reuse(t):
 
 @query("partition_inspection", "SELECT 8 AS partitions, count(*) AS n_rows FROM orders")
 def _inspection(t):
-    sizes = partition_sizes(hash_partition(t.orders.select("o_custkey"), "o_custkey", 8))
+    sizes = partition_sizes(hash_partition(t.orders.select("o_orderkey"), "o_orderkey", 8))
     return sizes.agg(F.count(F.lit(1)).cast("int").alias("partitions"), F.sum("n_rows").alias("n_rows"))
