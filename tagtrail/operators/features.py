@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tagtrail.functions.dates import before_day, days_before, on_day, on_or_after, through_day
 from tagtrail.functions.numeric import flag, half_even, ratio
-from tagtrail.operators.keyed import latest_rows, lookup
+from tagtrail.operators.keyed import latest_rows, lookup, skew_join
 
 _WORD = 64
 
@@ -198,11 +198,8 @@ def reached_cohort(
     since the joins do not deduplicate. Without it each row has the earliest
     event and the number of events, and its count of rows cannot grow.
     """
-    cohort = (
-        events.where(on_day(ts, on, -1))
-        .select(key, place, F.col(ts).cast("string").alias("time"))
-        .join(ends.select(place).distinct(), place)
-    )
+    cohort = events.where(on_day(ts, on, -1)).select(key, place, F.col(ts).cast("string").alias("time"))
+    cohort = skew_join(cohort, ends.select(place).distinct(), place)
     at_input = events.where(input_place).select(key, ts)
     out = cohort
     for shift, name in ((0, "input"), (1, "next")):
@@ -215,5 +212,5 @@ def reached_cohort(
                 F.lit("1").alias(f"txn_{name}_day"),
                 F.count(F.lit(1)).cast("string").alias(f"{name}_events"),
             )
-        out = out.join(day, key, "left")
-    return out.join(master, key, "left").na.fill("0")
+        out = skew_join(out, day, key, "left")
+    return skew_join(out, master, key, "left").na.fill("0")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tagtrail.functions.text import LOOSE_TAG_LENGTH, REGISTRATION_ANY, REGISTRATION_LOOSE, clean_tag, prefix
 from tagtrail.operators.dominant import dominant_category, modal_amount
-from tagtrail.operators.keyed import LIST_LIMIT, Names, joined_values, lookup, names, valued_pairs
+from tagtrail.operators.keyed import LIST_LIMIT, Names, joined_values, lookup, names, skew_join, valued_pairs
 
 
 def valid_registrations(
@@ -18,8 +18,8 @@ def valid_registrations(
     valid = df.where(F.col(value).rlike(pattern))
     if codes is None:
         return valid
-    known = codes.select(F.col(code).alias("_code")).distinct()
-    return valid.join(known, prefix(value, 2) == F.col("_code"), "left_semi")
+    known = codes.select(F.col(code).cast("string").alias("_code")).distinct()
+    return skew_join(valid.withColumn("_code", prefix(value, 2)), known, "_code", "left_semi").drop("_code")
 
 
 def split_by_validity(
@@ -59,7 +59,7 @@ def impute_registration(
     """
     keep = clean_tag(key, band=LOOSE_TAG_LENGTH) if keep is None else keep
     wanted = need.where(keep).select(key).distinct()
-    found = txn.join(wanted, key, "left_semi")
+    found = skew_join(txn, wanted, key, "left_semi")
     unique, multi = split_by_validity(found, key, value, pattern, limit=limit)
     states = dominant_category(found, key, state, min_share, unless=F.col(value).rlike(pattern))
     imputed = lookup(states, codes, state, code, F.lit(default))
@@ -80,9 +80,8 @@ def impute_registration(
 
 def unmatched(need: DataFrame, valid: DataFrame, txn: DataFrame, key: str = "tag") -> DataFrame:
     """Rows of ``need`` whose key has no valid value and no transaction."""
-    return need.join(valid.select(key).distinct(), key, "left_anti").join(
-        txn.select(key).distinct(), key, "left_anti"
-    )
+    known = valid.select(key).unionByName(txn.select(key)).distinct()
+    return skew_join(need, known, key, "left_anti")
 
 
 def impute_modal(
@@ -95,15 +94,18 @@ def impute_modal(
     """Rows of ``need`` with the modal amount of the first table that has one.
 
     ``source`` is the number of that table from 1, or null for the rows that
-    remain, rows without a class included. All tables join in one pass over
-    ``need``; each holds one row per key, so a frequent key only makes the
-    ``need`` side large, which the skew join splits.
+    remain, rows without a class included. The tables first merge into one row
+    per key, the best of the earliest table, so that ``need`` is joined once.
     """
     key = names(key)
-    out = need
-    for i, table in enumerate(freq_tables, start=1):
-        modal = modal_amount(table, key, amount, frequency).select(*key, F.col(amount).alias(f"_amount_{i}"))
-        out = out.join(modal, key, "left")
-    found = [f"_amount_{i}" for i in range(1, len(freq_tables) + 1)]
-    source = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(i)) for i, c in enumerate(found, start=1)])
-    return out.withColumn(amount, F.coalesce(*found)).withColumn("source", source).drop(*found)
+    numbered = [
+        modal_amount(table, key, amount, frequency).select(*key, F.lit(i).alias("source"), amount)
+        for i, table in enumerate(freq_tables, start=1)
+    ]
+    best = (
+        reduce(DataFrame.unionByName, numbered)
+        .groupBy(*key)
+        .agg(F.min(F.struct("source", amount)).alias("_best"))
+        .select(*key, F.col("_best")[amount].alias(amount), F.col("_best")["source"].alias("source"))
+    )
+    return skew_join(need, best, key, "left")

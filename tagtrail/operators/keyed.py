@@ -36,6 +36,24 @@ def hot_keys(df: DataFrame, key: Names, share: float = HOT_SHARE, rows: int = HO
     )
 
 
+def skew_join(rows: DataFrame, per_key: DataFrame, on: Names, how: str = "inner") -> DataFrame:
+    """Join rows to a table that is already combined per key, so that a hot key can be split.
+
+    The adaptive skew join only splits a side when both sides come straight
+    from a shuffle. A table grouped by the join key does not: Spark reuses the
+    grouping's partitions. Joining on a hash of the key besides the key makes
+    it shuffle the small, combined side once more, and the split applies.
+    """
+    on = names(on)
+    plain = ("bigint", "int", "string", "date", "timestamp", "timestamp_ntz")
+    kinds, others = dict(rows.dtypes), dict(per_key.dtypes)
+    if any(kinds[c] != others[c] or kinds[c] not in plain for c in on):
+        return rows.join(per_key, on, how)  # equal keys of unlike types may hash differently
+    spread = F.xxhash64(*on)
+    joined = rows.withColumn("_spread", spread).join(per_key.withColumn("_spread", spread), [*on, "_spread"], how)
+    return joined.drop("_spread")
+
+
 def latest_rows(df: DataFrame, key: Names, order: list[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows per key in ``order``, which must be a total order.
 
@@ -81,13 +99,13 @@ def share_of_total(counted: DataFrame, key: Names, count: str = "n", out: str =
     """
     key = names(key)
     totals = counted.groupBy(*key).agg(F.sum(count).alias("total"))
-    return counted.join(totals, key).withColumn(out, F.col(count) * 100.0 / F.col("total"))
+    return skew_join(counted, totals, key).withColumn(out, F.col(count) * 100.0 / F.col("total"))
 
 
 def valued_pairs(df: DataFrame, key: str, value: str) -> DataFrame:
     """Distinct (key, value) pairs and ``n_values``, the number of values of the key."""
     pairs = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, value).distinct()
-    return pairs.join(count_by(pairs, key, "n_values"), key)
+    return skew_join(pairs, count_by(pairs, key, "n_values"), key)
 
 
 def joined_values(
@@ -124,7 +142,7 @@ def lookup(df: DataFrame, dim: DataFrame, on: Names, value: str, default: Column
     """
     on = names(on)
     entries = dim.where(F.col(value).isNotNull()).groupBy(*on).agg(F.min(value).alias(value))
-    out = df.join(entries, on, "left")
+    out = skew_join(df, entries, on, "left")
     return out if default is None else out.withColumn(value, F.coalesce(F.col(value), default))
 
 

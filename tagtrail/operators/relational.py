@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tagtrail.operators.keyed import Names, names
+from tagtrail.operators.keyed import Names, names, skew_join
 
 
 def left_with_default(left: DataFrame, right: DataFrame, on: Names, defaults: dict[str, object]) -> DataFrame:
@@ -25,13 +25,13 @@ def outer_filled(left: DataFrame, right: DataFrame, on: Names, fill: object = 0)
 def with_keys(df: DataFrame, keys: DataFrame, on: Names) -> DataFrame:
     """Rows whose key is in ``keys``. Nothing is collected, however many keys there are."""
     on = names(on)
-    return df.join(keys.select(*on).distinct(), on, "left_semi")
+    return skew_join(df, keys.select(*on).distinct(), on, "left_semi")
 
 
 def without_keys(df: DataFrame, keys: DataFrame, on: Names) -> DataFrame:
     """Rows whose key is not in ``keys``."""
     on = names(on)
-    return df.join(keys.select(*on).distinct(), on, "left_anti")
+    return skew_join(df, keys.select(*on).distinct(), on, "left_anti")
 
 
 def distance_between(df: DataFrame, dist: DataFrame, start: str, end: str, missing: float = -1.0) -> DataFrame:
@@ -40,7 +40,7 @@ def distance_between(df: DataFrame, dist: DataFrame, start: str, end: str, missi
         dist.groupBy(F.col("from_place").alias(start), F.col("to_place").alias(end))
         .agg(F.min("distance").alias("distance"))
     )
-    return df.join(entries, [start, end], "left").fillna({"distance": missing})
+    return skew_join(df, entries, [start, end], "left").fillna({"distance": missing})
 
 
 def nested_lookup_table(df: DataFrame, outer: str, inner: str, value: str) -> DataFrame:

@@ -497,9 +497,10 @@ def _state_merge(t):
     )
 
 
-@query("hit_count", "SELECT count(*) AS hits FROM lineitem WHERE l_suppkey = 7")
+@query("hit_count", "SELECT count(*) AS hits FROM lineitem WHERE l_suppkey = (SELECT max(s_suppkey) FROM supplier)")
 def _hits(t):
-    return t.lineitem.where(F.col("l_suppkey") == 7).agg(F.count(F.lit(1)).alias("hits"))
+    target = t.supplier.agg(F.max("s_suppkey")).scalar()
+    return t.lineitem.where(F.col("l_suppkey") == target).agg(F.count(F.lit(1)).alias("hits"))
 
 
 @query(

@@ -134,3 +134,83 @@ def test_similarity_to_one_item_matches_the_pair_table(ratings):
     want = {(a if b == 3 else b): v for (a, b), v in brute_force(table).items() if 3 in (a, b)}
     assert {r.item: (round(r.score, 9), r.strength) for r in out} == want
     assert all(-1 <= r.score <= 1 + 1e-9 for r in out)
+
+
+@pytest.fixture
+def eager_skew_join(spark):
+    """Thresholds small enough for test data to count as skewed, and no broadcasts."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def final_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def kind(plaza):
+    return F.concat(F.lit("class-"), (plaza % 7).cast("string"))
+
+
+def crowd(spark, n=60_000):
+    """A third of the rows share one class and plaza."""
+    key = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500)
+    rows = spark.range(0, n, 1, 8).select(
+        F.sha2(F.col("id").cast("string"), 256).alias("tag"),
+        key.cast("string").alias("plaza"),
+        kind(key).alias("vehicle_class"),
+    )
+    return rows
+
+
+def test_chained_lookups_split_a_hot_key(spark, eager_skew_join):
+    from tagtrail.operators.impute import impute_modal
+
+    prices = spark.range(500).select(
+        kind(F.col("id")).alias("vehicle_class"),
+        F.col("id").cast("string").alias("plaza"),
+        (F.col("id") + 1.0).alias("amount"),
+        F.lit(1).alias("frequency"),
+    )
+    out = impute_modal(crowd(spark), [prices.where("plaza != '0'"), prices])
+    counts = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    zero = 20_000 + sum(1 for i in range(60_000) if i % 3 and i % 500 == 0)
+    assert counts == {2: zero, 1: 60_000 - zero}
+    out.collect()
+    assert "skew=true" in final_plan(out)
+
+
+def test_value_lists_split_a_hot_key(spark, eager_skew_join):
+    pairs = keyed.valued_pairs(crowd(spark), "plaza", "tag")
+    out = keyed.joined_values(pairs, "plaza", "tag", " ", limit=1000)
+    got = out.collect()
+    assert "skew=true" in final_plan(out)
+    assert sum(r.n for r in got) == 60_000
+    hot = [r for r in got if r.plaza == "0"]
+    assert len(hot) > 10 and max(r.n for r in hot) < 2_000
+
+
+@pytest.mark.parametrize("how", ["left_semi", "left_anti", "left", "inner"])
+def test_key_set_joins_split_a_hot_key(spark, eager_skew_join, how):
+    keys = spark.range(400).select(F.col("id").cast("string").alias("plaza")).distinct()
+    out = keyed.skew_join(crowd(spark), keys, "plaza", how)
+    plain = crowd(spark).join(keys, "plaza", how)
+    assert len(out.collect()) == plain.count()
+    if how in ("left_semi", "inner"):
+        assert "skew=true" in final_plan(out)
+
+
+def test_skew_join_accepts_keys_of_unlike_types(spark, rows):
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    right = spark.createDataFrame([(1,), (3,)], "k bigint")
+    assert rows(keyed.skew_join(left, right, "k", "left_semi")) == [(1, "a")]
