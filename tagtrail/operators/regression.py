@@ -7,11 +7,17 @@ from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame, functions as F
 
 
-def scaled(df: DataFrame, column: str, out: str) -> DataFrame:
-    """``column`` mapped linearly onto [-1, 1] by its own range."""
-    low = df.agg(F.min(column)).scalar()
-    high = df.agg(F.max(column)).scalar()
-    return df.withColumn(out, (F.col(column) - low) * 2.0 / (high - low) - 1.0)
+def scaled(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add ``out: column`` pairs mapped linearly onto [-1, 1] by their own ranges.
+
+    One pass finds all ranges; only they reach the driver.
+    """
+    bounds = [f(c) for c in columns.values() for f in (F.min, F.max)]
+    found = df.agg(*[b.alias(f"b{i}") for i, b in enumerate(bounds)]).first()
+    for at, (out, column) in enumerate(columns.items()):
+        low, high = float(found[2 * at]), float(found[2 * at + 1])
+        df = df.withColumn(out, (F.col(column) - F.lit(low)) * 2.0 / F.lit(high - low) - 1.0)
+    return df
 
 
 def _vectors(df: DataFrame, features: list[str]) -> DataFrame:

@@ -126,8 +126,8 @@ _SCALED = """s AS (
 
 
 def _points(t):
-    lines = regression.scaled(t.lineitem, "l_quantity", "x")
-    return regression.scaled(lines, "l_extendedprice", "y").select("l_orderkey", "l_linenumber", "x", "y")
+    lines = regression.scaled(t.lineitem, {"x": "l_quantity", "y": "l_extendedprice"})
+    return lines.select("l_orderkey", "l_linenumber", "x", "y")
 
 
 @query(

@@ -101,3 +101,9 @@ def test_regression_is_the_penalised_optimum(spark):
     assert model.coefficients[0] == pytest.approx(want, abs=1e-9) and model.intercept == 0
     for r in regression.predict(model, df, ["x"]).collect():
         assert r.prediction == pytest.approx(r.x * want, abs=1e-9)
+
+
+def test_scaling_spans_minus_one_to_one(spark, rows):
+    df = spark.createDataFrame([(0.0, 10), (5.0, 20), (10.0, 30)], "a double, b int")
+    out = regression.scaled(df, {"x": "a", "y": "b"}).select("x", "y")
+    assert rows(out) == sorted([(-1.0, -1.0), (0.0, 0.0), (1.0, 1.0)], key=lambda r: str(r))
