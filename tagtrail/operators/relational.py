@@ -9,12 +9,12 @@ from tagtrail.operators.keyed import Names, names, skew_join
 
 def left_with_default(left: DataFrame, right: DataFrame, on: Names, defaults: dict[str, object]) -> DataFrame:
     """Left join; named columns take their default where ``right`` has no row."""
-    return left.join(right, names(on), "left").fillna(defaults, subset=list(defaults))
+    return skew_join(left, right, on, "left").fillna(defaults, subset=list(defaults))
 
 
 def left_filled(left: DataFrame, right: DataFrame, on: Names, fill: object = 0) -> DataFrame:
     """Left join with nulls of the fill value's type replaced."""
-    return left.join(right, names(on), "left").na.fill(fill)
+    return skew_join(left, right, on, "left").na.fill(fill)
 
 
 def outer_filled(left: DataFrame, right: DataFrame, on: Names, fill: object = 0) -> DataFrame:
