@@ -4,9 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tagtrail.llm.archives import pages_through_archives
+from tagtrail.llm.decontamination import benchmark_matches
+from tagtrail.llm.language import fit_language, predict_language
+from tagtrail.llm.main_text import main_text
 from tagtrail.llm.near_duplicates import near_duplicates
+from tagtrail.llm.quality import fit_quality, measured, quality
+from tagtrail.llm.sampling import remainder
+from tagtrail.llm.toxicity import fit_toxicity, toxicity
+from tagtrail.llm.url_filters import judge_urls, split_url
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +65,86 @@ def near_duplicate_sql(source: str, width: int, percent: int) -> str:
 )
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+@_query("op1_benchmark_matches")
+def op1_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and item it holds; documents without a match have no row."""
+    return benchmark_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def _held_out(divisor: int, rest: int) -> Column:
+    return F.coalesce(remainder("doc_id", divisor) == rest, F.lit(False)).alias("held_out")
+
+
+@_query("op4_language")
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_language(docs, remainder("doc_id", 3) != 1)
+    return predict_language(docs, model).select("doc_id", _held_out(3, 1), "lang_pred", "score", "rejected")
+
+
+@_query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    weights = fit_toxicity(docs, _table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return toxicity(docs, weights).select("doc_id", _held_out(4, 2), "score", predicted)
+
+
+@_query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = measured(_table(spark, sf_dir, "documents"))
+    model = fit_quality(rows, _table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
+    predicted = (F.col("score") >= 0.7).cast("int").alias("predicted")
+    return quality(rows, model).select("doc_id", _held_out(4, 2), "score", predicted)
+
+
+@_query("op2_main_text")
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
+@_query(
+    "op7_archives",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+    f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+    SELECT page_id, payload_bytes, d.payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM d LEFT JOIN f ON f.payload_digest = d.payload_digest""",
+)
+def op7_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages_through_archives(_table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The rules of the query and the labels whose hosts are listed.
+URL_RULES = (
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+LISTED_LABELS = ("casino-win", "free-bets", "cheap-pills", "ads-track")
+_FITS = "(u.host = '{h}' OR ends_with(u.host, '.{h}')) AND starts_with(u.path, '{p}')"
+_BY_LENGTH = sorted(URL_RULES, key=lambda r: (-len(r[1] + r[2]), -len(r[1])))
+
+
+@_query(
+    "op8_url_filter",
+    f"""
+    WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    u AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) AS path FROM r),
+    m AS (SELECT *, CASE {" ".join(f"WHEN {_FITS.format(h=h, p=p)} THEN '{a} {h}{p}'" for a, h, p in _BY_LENGTH)} END AS hit FROM u)
+    SELECT page_id, host, path, split_part(hit, ' ', 2) AS rule,
+      coalesce(split_part(hit, ' ', 1), CASE WHEN list_has_any(string_split(host, '.'),
+        [{", ".join(f"'{x}'" for x in LISTED_LABELS)}]) THEN 'block' ELSE 'allow' END) AS verdict
+    FROM m""",
+)
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(str(r) for r in URL_RULES) + " AS r(action, host, path)")
+    labels = F.array(*[F.lit(x) for x in LISTED_LABELS])
+    hosts = split_url(pages.select("url"), "url").where(F.arrays_overlap(F.split("host", r"\."), labels))
+    return judge_urls(pages, rules, hosts.select(F.col("host").alias("key")))
