@@ -14,9 +14,13 @@ false link is kept. No list of pairs of a group is made:
 
 1. Equal sets are one node, the smallest id with that set.
 2. Each node is checked against one leader of its bands, the one it shares most
-   with; the links give components. A second round takes other leaders.
+   with; the links give components. In two more rounds it is checked against a random
+   leader of each band that still holds several components.
 3. Only nodes that share a band and are still in different components are
-   compared with each other, where their sizes allow the similarity.
+   compared with each other.
+
+Before full sets are read, a bitmap of each set bounds the intersection of a pair
+from above, so pairs that agree in one passage only are never built.
 
 Defined cases: a null or empty text, or one without words, has an empty set and
 is linked with nothing. Rows with a null id keep their row, with a null
@@ -32,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +46,10 @@ from tagtrail.session import materialize
 
 BANDS = 32
 ROWS = 5
+#: Rounds in which each node is compared with one leader of each of its bands.
+TURNS = 2
+#: 64-bit words of the bitmap of a set.
+WORDS = 16
 _VALUE = np.uint64(0xFFFFFFFF)
 _SALT = 7
 
@@ -87,6 +95,15 @@ def sketches(sets: list[np.ndarray], bins: int) -> np.ndarray:
     return out.reshape(-1, bins)
 
 
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of WORDS 64-bit words per set: the bit of every shingle hash."""
+    place = np.concatenate([*sets, np.zeros(0, np.uint64)]) % np.uint64(64 * WORDS)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bits = np.zeros((len(sets), 64 * WORDS), np.uint8)
+    bits[owner, place.astype(np.int64)] = 1
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
 def band_keys(rows: np.ndarray, bands: int) -> np.ndarray:
     """A signed 64-bit key per set and band."""
     per = rows.shape[1] // bands
@@ -114,8 +131,11 @@ def _sketched(width: int, bands: int, rows: int):
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(offsets, pa.array(keys[full].ravel(), pa.int64())),
+                        pa.ListArray.from_arrays(
+                            np.arange(len(sets) + 1, dtype=np.int32) * WORDS, pa.array(bitmaps(sets).ravel(), pa.int64())
+                        ),
                     ],
-                    ["id", "n", "digest", "bands"],
+                    ["id", "n", "digest", "bands", "bits"],
                 )
 
     return run
@@ -137,17 +157,58 @@ def _full_sets(width: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, label: str) -> DataFrame:
+def _possible(percent: int) -> Column:
+    """Whether the bitmaps of a and b allow the similarity.
+
+    Each bit of a that b lacks stands for a shingle of a that b lacks, so the
+    intersection is at most the size less the number of such bits (``set`` less those in both). No pair that has
+    the similarity fails this test.
+    """
+    both = sum(F.bit_count(F.col(f"bits{k}_a").bitwiseAND(F.col(f"bits{k}_b"))) for k in range(WORDS))
+    most = F.least(F.col("n_a") - F.col("set_a"), F.col("n_b") - F.col("set_b")) + both
+    return 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
+
+
+def _sided(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select([F.col(c).alias(c if c == "band" else side if c == "node" else f"{c}_{side}") for c in rows.columns])
+
+
+def _confirmed(pairs: DataFrame, outlines: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those (a, b) whose full sets have ``percent`` of their union in common."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    able = pairs.join(_sided(outlines, "a"), "a").join(_sided(outlines, "b"), "b").where(_possible(percent))
+    able = materialize(able.select("a", "b"), "able")
+    named = able.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = texts.join(named, "id", "left_semi").mapInArrow(_full_sets(width), "id long, items array<long>")
-    sets = materialize(sets, f"{label}-sets")
+    sets = materialize(sets, "full-sets")
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("of_a"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("of_b"))
     common = F.size(F.array_intersect("of_a", "of_b"))
     union = F.size("of_a") + F.size("of_b") - common
-    both = pairs.join(left, "a").join(right, "b").where(100 * common >= percent * union)
-    return both.select("a", "b")
+    return able.join(left, "a").join(right, "b").where(100 * common >= percent * union).select("a", "b")
+
+
+def _parted(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (node, band) of bands that hold nodes of several components, with the component."""
+    named = rows.join(labels, F.col("node") == F.col("member"), "left").select(
+        "node", "band", F.coalesce("component", "node").alias("component")
+    )
+    ends = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return named.join(ends.select("band"), "band", "left_semi")
+
+
+def _across(parted: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a band and whose bitmaps allow the similarity.
+
+    In each band the component with most nodes is only compared with the others.
+    """
+    sizes = parted.groupBy("band", "component").count().groupBy("band")
+    main = sizes.agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    rows = parted.join(main, "band").select("node", "band", "component", (F.col("component") == F.col("main")).alias("major"))
+    rows = materialize(rows.join(outlines, "node"), "outlined")
+    both = _sided(rows.where("NOT major"), "a").join(_sided(rows, "b"), "band")
+    once = (F.col("component_a") != F.col("component_b")) & (F.col("major_b") | (F.col("a") < F.col("b")))
+    pairs = both.where(once & _possible(percent))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -162,16 +223,20 @@ def near_duplicates(
     """One row per row of ``docs``: id, n_shingles, component_id, kept."""
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     found = materialize(
-        texts.mapInArrow(_sketched(width, bands, rows), "id long, n long, digest binary, bands array<long>"), "sketches"
+        texts.mapInArrow(_sketched(width, bands, rows), "id long, n long, digest binary, bands array<long>, bits array<long>"),
+        "sketches",
     )
     filled = found.where("id IS NOT NULL AND n > 0")
     nodes = materialize(filled.groupBy("digest", "n").agg(F.min("id").alias("node")), "sets")
     # bands of one row per node: the row of the smallest id
-    banded = filled.select("id", "n", "digest", F.explode("bands").alias("band"))
-    first = nodes.select(F.col("node").alias("id"), "digest")
-    banded = banded.join(first, ["id", "digest"], "left_semi").select(F.col("id").alias("node"), "n", "band").distinct()
+    first = filled.join(nodes.select(F.col("node").alias("id"), "digest"), ["id", "digest"], "left_semi")
+    banded = first.select(F.col("id").alias("node"), F.explode("bands").alias("band")).distinct()
     buckets = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     shared = materialize(banded.join(buckets, "band"), "bands")
+    outlines = first.select(F.col("id").alias("node"), "n", "bits").dropDuplicates(["node"])
+    words = [F.col("bits")[k].alias(f"bits{k}") for k in range(WORDS)]
+    outlines = outlines.select("node", "n", *words, F.aggregate("bits", F.lit(0), lambda s, w: s + F.bit_count(w)).alias("set"))
+    outlines = materialize(outlines, "outlines")
     node_texts = texts.join(nodes.select(F.col("node").alias("id")), "id", "left_semi")
 
     def led(leader: str, rows_: DataFrame) -> DataFrame:
@@ -180,27 +245,20 @@ def near_duplicates(
         best = counted.groupBy("node").agg(F.min_by("b", F.struct(-F.col("count"), F.col("b"))).alias("b"))
         return best.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
-    links = materialize(_confirmed(materialize(led("low", shared), "led"), node_texts, width, percent, "low"), "links")
+    links = materialize(_confirmed(materialize(led("low", shared), "led"), outlines, node_texts, width, percent), "links")
     labels = connected(links)
-    for last in (False, True):
-        mixed_rows = shared.join(labels, F.col("node") == F.col("member"), "left").select(
-            "node", "n", "band", F.coalesce("component", "node").alias("component")
-        )
-        mixed_rows = materialize(mixed_rows, "mixed")
-        open_bands = mixed_rows.groupBy("band").agg(
-            F.min("component").alias("low_component"), F.max("component").alias("high_component"),
-            F.max_by("node", "component").alias("far"),
-        ).where("low_component < high_component")
-        mixed_rows = mixed_rows.join(open_bands, "band")
-        if not last:
-            todo = led("far", mixed_rows.where(F.col("component") != F.col("high_component")))
+    for turn in range(1, TURNS + 2):
+        parted = materialize(_parted(shared, labels), "parted")
+        if turn <= TURNS:
+            leader = F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn)))
+            led_by = parted.groupBy("band").agg(leader.alias("leader"))
+            todo = parted.join(led_by, "band").where("component <> leader.component").select(
+                F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")
+            ).distinct()
         else:
-            left = mixed_rows.select("band", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("in_a"))
-            right = mixed_rows.select("band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("in_b"))
-            fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-            todo = left.join(right, "band").where("a < b AND in_a <> in_b").where(fits).select("a", "b").distinct()
+            todo = _across(parted, outlines, percent)
         todo = materialize(todo, "todo")
-        more = materialize(_confirmed(todo, node_texts, width, percent, "more"), "more")
+        more = materialize(_confirmed(todo, outlines, node_texts, width, percent), "more")
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = connected(links)
