@@ -11,6 +11,7 @@ from tagtrail.llm.archives import pages_through_archives
 from tagtrail.llm.decontamination import benchmark_matches
 from tagtrail.llm.language import fit_language, predict_language
 from tagtrail.llm.main_text import main_text
+from tagtrail.llm.neighbours import nearest_neighbours
 from tagtrail.llm.near_duplicates import near_duplicates
 from tagtrail.llm.quality import fit_quality, measured, quality
 from tagtrail.llm.sampling import remainder
@@ -148,3 +149,24 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = F.array(*[F.lit(x) for x in LISTED_LABELS])
     hosts = split_url(pages.select("url"), "url").where(F.arrays_overlap(F.split("host", r"\."), labels))
     return judge_urls(pages, rules, hosts.select(F.col("host").alias("key")))
+
+
+_USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL"
+
+
+@_query(
+    "op3_neighbours",
+    f"""
+    WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE {_USABLE}),
+    u AS (SELECT vec_id, e, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda s, x: s + x)) AS n FROM v
+      WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    s AS (SELECT q.vec_id AS query_id, r.vec_id,
+        list_reduce(list_transform(list_zip(q.e, r.e), lambda z: z[1] * z[2]), lambda s, x: s + x) / (q.n * r.n) AS score
+      FROM u q JOIN u r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0),
+    k AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+      FROM s)
+    SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5""",
+)
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, F.col("vec_id") % 50 == 0)
