@@ -15,6 +15,7 @@ from tagtrail.llm.neighbours import nearest_neighbours
 from tagtrail.llm.near_duplicates import near_duplicates
 from tagtrail.llm.quality import fit_quality, measured, quality
 from tagtrail.llm.sampling import remainder
+from tagtrail.llm.segmentation import decoded, load_vocabulary, segmentations
 from tagtrail.llm.toxicity import fit_toxicity, toxicity
 from tagtrail.llm.url_filters import judge_urls, split_url
 
@@ -170,3 +171,17 @@ _USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL"
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return nearest_neighbours(vectors, F.col("vec_id") % 50 == 0)
+
+
+def token_digests(docs: DataFrame) -> DataFrame:
+    """A row per document and sampled segmentation: how long, how likely, its ids as one hash, and whether it spells the text."""
+    vocabulary = load_vocabulary(docs.sparkSession)
+    ways = segmentations(docs, vocabulary)
+    ways = ways.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("ids_hash", F.xxhash64("ids"))
+    spelled = decoded(ways, vocabulary).withColumn("exact", F.xxhash64("decoded") == F.col("text_key"))
+    return spelled.select("doc_id", "rank", "n_tokens", "ids_hash", "log_prob", "perturbed", "inclusion", "exact")
+
+
+@_query("op9_segmentations")
+def op9_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(_table(spark, sf_dir, "documents"))
