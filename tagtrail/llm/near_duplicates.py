@@ -48,6 +48,8 @@ BANDS = 32
 ROWS = 5
 #: Rounds in which each node is compared with one leader of each of its bands.
 TURNS = 2
+#: Ids sent to every task at most, about 32 MB there.
+SENT_IDS = 1_000_000
 #: 64-bit words of the bitmap of a set.
 WORDS = 16
 _VALUE = np.uint64(0xFFFFFFFF)
@@ -173,12 +175,18 @@ def _sided(rows: DataFrame, side: str) -> DataFrame:
     return rows.select([F.col(c).alias(c if c == "band" else side if c == "node" else f"{c}_{side}") for c in rows.columns])
 
 
+def _rows_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows with one of ``ids``. Up to SENT_IDS ids go to the tasks, so that texts stay where they are; more are joined."""
+    ids = materialize(ids, "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "id", "left_semi")
+
+
 def _confirmed(pairs: DataFrame, outlines: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those (a, b) whose full sets have ``percent`` of their union in common."""
     able = pairs.join(_sided(outlines, "a"), "a").join(_sided(outlines, "b"), "b").where(_possible(percent))
     able = materialize(able.select("a", "b"), "able")
     named = able.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = texts.join(named, "id", "left_semi").mapInArrow(_full_sets(width), "id long, items array<long>")
+    sets = _rows_of(texts, named).mapInArrow(_full_sets(width), "id long, items array<long>")
     sets = materialize(sets, "full-sets")
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("of_a"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("of_b"))
@@ -237,7 +245,7 @@ def near_duplicates(
     words = [F.col("bits")[k].alias(f"bits{k}") for k in range(WORDS)]
     outlines = outlines.select("node", "n", *words, F.aggregate("bits", F.lit(0), lambda s, w: s + F.bit_count(w)).alias("set"))
     outlines = materialize(outlines, "outlines")
-    node_texts = texts.join(nodes.select(F.col("node").alias("id")), "id", "left_semi")
+    node_texts = materialize(_rows_of(texts, shared.select(F.col("node").alias("id")).distinct()), "node-texts")
 
     def led(leader: str, rows_: DataFrame) -> DataFrame:
         """The leader that a node shares most bands with; ties to the smaller one."""

@@ -148,8 +148,9 @@ class Lattice:
         np.cumsum(self.first, out=self.first)
         edges = int(self.first[-1])
         self.ids = np.full(edges, -1, np.int32)
-        self.log_p = np.full(edges, -np.inf, np.float32)
+        self.log_p = np.full(edges, -np.inf)
         self.ladder = np.zeros(edges, np.float32)
+        self.ways = np.zeros(total, np.int32)  # edges of each node that have a weight
         rolling = Rolling(codes)
         at = np.arange(len(codes))
         for size in range(1, vocabulary.longest + 1):
@@ -174,6 +175,7 @@ class Lattice:
             edge = self.first[node][:, None] + step
             terms = self.log_p[edge] + beta[node[:, None] + 1 + step]
             top = terms.max(axis=1)
+            self.ways[node] = np.isfinite(terms).sum(axis=1)
             ways = np.exp(terms - top[:, None])
             sums = ways.sum(axis=1)
             beta[node] = top + np.log(sums)
@@ -181,7 +183,7 @@ class Lattice:
             self.ladder[edge] = np.cumsum(ways, axis=1) / sums[:, None]
 
     def log_prob(self, node: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return self.log_p[self.first[node] + size - 1].astype(np.float64)
+        return self.log_p[self.first[node] + size - 1]
 
     def drawn(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """Size of the edge that each draw takes at its node."""
@@ -197,7 +199,7 @@ class Lattice:
 
     def drawn_without(self, node: int, u: float, used: tuple[int, ...]) -> int:
         """Size of an edge of one node that is none of ``used``."""
-        p = np.exp(self.log_p[self.first[node] : self.first[node + 1]].astype(np.float64))
+        p = np.exp(self.log_p[self.first[node] : self.first[node + 1]])
         p[np.array(used) - 1] = 0.0
         ladder = np.cumsum(p)
         return int(min(np.searchsorted(ladder, u * ladder[-1], "right"), np.flatnonzero(p)[-1])) + 1
@@ -303,12 +305,14 @@ def _cut(s: _Sampler, t: int, path: _Path, bound: float, heap: list, keep: int,
         return heap
     left, used = path.banned
     lo = max(left, 0)
-    p = np.exp(path.log_p[lo:])
-    other = 1.0 - p
+    other = 1.0 - np.exp(path.log_p[lo:])
+    spare = s.lattice.ways[path.node[lo:]] - 1
     if left >= 0:
+        spare[0] -= len(used)
         other[0] -= np.exp(s.lattice.log_prob(np.full(len(used), path.node[left]), np.array(used))).sum()
     before = np.cumsum(path.log_p) - path.log_p
-    live = np.flatnonzero(other > 1e-12)
+    other = np.maximum(other, 1e-300)
+    live = np.flatnonzero(spare > 0)
     if not len(live):
         return heap
     mass = before[lo:][live] + np.log(other[live])
@@ -358,7 +362,7 @@ def _spelled(code: int, vocabulary: Vocabulary) -> np.ndarray:
 
 def _finished(lattice: Lattice, vocabulary: Vocabulary, path: _Path, value: float, heap: list) -> tuple:
     log_prob = float(path.log_p.sum())
-    inclusion = 1.0 if not heap else float(-np.expm1(-np.exp(min(700.0, log_prob - heap[0][0]))))
+    inclusion = 1.0 if not heap else float(-np.expm1(-np.exp(min(50.0, log_prob - heap[0][0]))))
     ids = lattice.ids[lattice.first[path.node] + path.size - 1]
     bare = np.flatnonzero(ids < 0)
     if len(bare):
