@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagtrail.functions.numeric import percent
@@ -94,11 +96,12 @@ def modal_amount(freq: DataFrame, key: Names, amount: str = "amount", frequency:
     """The most frequent non-zero amount per key; ties go to the smallest amount.
 
     Rows are counted tables (amount, frequency), so the highest single
-    frequency decides, as in the reference data's frequency tables.
+    frequency decides, as in the reference data's frequency tables. A null or blank key has no modal amount.
     """
     key = names(key)
+    named = reduce(lambda a, b: a & b, [F.trim(F.col(c).cast("string")) != "" for c in key])
     return (
-        freq.where(F.col(amount) != 0)
+        freq.where((F.col(amount) != 0) & named)
         .groupBy(*key)
         .agg(F.min(F.struct((-F.col(frequency)).alias("_neg"), F.col(amount))).alias("_best"))
         .select(*key, F.col("_best")[amount].alias(amount), (-F.col("_best")["_neg"]).alias(frequency))

@@ -82,7 +82,7 @@ def active_day_ratio(df: DataFrame, key: str, ts: str, on: str, start: str | Non
 
 
 def _bits(words: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.bit_count(F.col(w)) for w in words])
+    return reduce(lambda a, b: a + b, [F.bit_count(F.col(w)) for w in words], F.lit(0))
 
 
 def _latest_distance(

@@ -1,6 +1,6 @@
 """Graphs as a vertex table (id, name) and an edge table (src, dst, ...).
 
-Loops run on the driver, one round at a time, with a bound on the rounds. Each
+Loops run on the driver, one round at a time, until nothing is left to do. Each
 round is written to the shared scratch folder and read back, which cuts the
 lineage, survives lost executors and tells the next join its true size.
 """
@@ -8,6 +8,7 @@ lineage, survives lost executors and tells the next join its true size.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -40,12 +41,15 @@ def top_degrees(edges: DataFrame, names: DataFrame, k: int = 10) -> DataFrame:
     return degrees(edges).join(named, "id").orderBy(F.desc("degree"), F.asc("id")).limit(k)
 
 
-def _rounds(edges: DataFrame, start: DataFrame, max_rounds: int):
-    """Breadth-first rounds: yields (round, edges leaving the frontier, newly reached vertices)."""
+def _rounds(edges: DataFrame, start: DataFrame, max_rounds: int | None):
+    """Breadth-first rounds: yields (round, edges leaving the frontier, newly reached vertices).
+
+    A vertex is reached once, so the rounds end by themselves.
+    """
     plain = materialize(edges.select("src", "dst"), "edges")
     frontier = materialize(start.select("id", F.lit(0).alias("hops")), "bfs")
     reached = [frontier]
-    for hop in range(1, max_rounds + 1):
+    for hop in count(1) if max_rounds is None else range(1, max_rounds + 1):
         leaving = frontier.select(F.col("id").alias("src")).join(plain, "src").select("dst")
         known = reduce(DataFrame.unionByName, reached).select("id")
         fresh = leaving.select(F.col("dst").alias("id")).distinct().join(known, "id", "left_anti")
@@ -57,11 +61,11 @@ def _rounds(edges: DataFrame, start: DataFrame, max_rounds: int):
 
 
 def hop_distance(
-    edges: DataFrame, start: DataFrame, names: DataFrame | None = None, max_rounds: int = 10, default: str = NOBODY
+    edges: DataFrame, start: DataFrame, names: DataFrame | None = None, max_rounds: int | None = None, default: str = NOBODY
 ) -> DataFrame:
-    """Hops from the ``start`` vertices to every vertex, infinity where none arrives within ``max_rounds``.
+    """Hops from the ``start`` vertices to every vertex, infinity where none arrives.
 
-    A round only touches the frontier's edges, and each vertex is written once.
+    ``max_rounds`` ends the search early on request. A round only touches the frontier's edges, and each vertex is written once.
     """
     reached: list[DataFrame] = []
     for _, _, frontier, known in _rounds(edges, start, max_rounds):
@@ -74,7 +78,7 @@ def hop_distance(
     )
 
 
-def degrees_of_separation(edges: DataFrame, start: DataFrame, target: DataFrame, max_rounds: int = 10) -> DataFrame:
+def degrees_of_separation(edges: DataFrame, start: DataFrame, target: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """The round in which the ``target`` is first met and how many frontier edges lead to it then.
 
     One row (hops, hits), or none if the target is not met. The hits come from
@@ -113,19 +117,31 @@ def _extended(paths: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def _hop_guard(steps: DataFrame, budget: float) -> int:
+    """Joins after which every path must have exceeded the budget, since each adds the smallest weight at least."""
+    least = steps.agg(F.min("weight")).head()[0]
+    return 2 if least is None else max(0, int(budget // least)) + 2
+
+
+def _hops(limit: int):
+    """Numbers the rounds; a round beyond ``limit`` is an error and never a shorter result."""
+    yield from range(1, limit + 1)
+    raise RuntimeError(f"paths are still active after {limit} rounds")
+
+
 def expand_paths(
-    edges: DataFrame, seeds: Column, budget: float, max_hops: int, weight: str = "weight", first_only: bool = False
+    edges: DataFrame, seeds: Column, budget: float, weight: str = "weight", first_only: bool = False
 ) -> DataFrame:
     """Paths that grow edge by edge until their total first exceeds ``budget``.
 
-    Such a path leaves with its end vertex; the others go on, for at most
-    ``max_hops`` joins. With ``first_only`` the search ends after the first
-    round in which any path leaves. Seed paths themselves are not tested.
+    Such a path leaves with its end vertex; the others go on until none is
+    left, which positive weights ensure. With ``first_only`` the search ends after
+    the first round in which any path leaves. Seed paths themselves are not tested.
     """
     steps = _checked(edges, weight)
     active = seed_paths(steps, seeds)
     done: list[DataFrame] = []
-    for hop in range(1, max_hops + 1):
+    for hop in _hops(_hop_guard(steps, budget)):
         grown = materialize(_extended(active, steps), f"paths-{hop}")
         over = grown.where(F.col("total") > budget)
         done.append(over)
@@ -138,18 +154,20 @@ def expand_paths(
 
 
 def reached_ends(
-    edges: DataFrame, seeds: Column, budget: float, max_hops: int, weight: str = "weight"
+    edges: DataFrame, seeds: Column, budget: float, weight: str = "weight", steps_per_unit: int = 60
 ) -> DataFrame:
     """Distinct end vertices of :func:`expand_paths`, without listing the paths.
 
-    Paths that meet at one vertex with one total have the same future, so a
-    single copy is kept per round. Their number is bounded by the distinct
-    totals per vertex and not by the number of paths.
+    Weights and budget are held in whole steps, by default minutes of hours, one
+    at least. Paths that meet at one vertex with one total have the same future, so
+    one copy is kept per round: never more than vertices times budget steps.
     """
-    steps = _checked(edges, weight)
+    whole = F.greatest(F.lit(1), F.floor(F.col("weight") * F.lit(float(steps_per_unit)) + 0.5)).cast("long")
+    steps = materialize(_checked(edges, weight).select("src", "dst", whole.alias("weight")), "whole-edges")
+    limit = int(budget * steps_per_unit)
     states = steps.where(seeds).select("dst", F.col("weight").alias("total")).distinct()
     done: list[DataFrame] = []
-    for hop in range(1, max_hops + 1):
+    for hop in _hops(_hop_guard(steps, limit)):
         nxt = steps.select(F.col("src").alias("_at"), F.col("dst").alias("_to"), "weight")
         grown = materialize(
             states.join(nxt, states["dst"] == nxt["_at"])
@@ -157,8 +175,8 @@ def reached_ends(
             .distinct(),
             f"ends-{hop}",
         )
-        done.append(grown.where(F.col("total") > budget).select("dst"))
-        states = grown.where(F.col("total") <= budget)
+        done.append(grown.where(F.col("total") > limit).select("dst"))
+        states = grown.where(F.col("total") <= limit)
         if states.isEmpty():
             break
     return reduce(DataFrame.unionByName, done).distinct()

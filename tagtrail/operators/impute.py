@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tagtrail.functions.text import LOOSE_TAG_LENGTH, REGISTRATION_ANY, REGISTRATION_LOOSE, clean_tag, prefix
 from tagtrail.operators.dominant import dominant_category, modal_amount
-from tagtrail.operators.keyed import LIST_LIMIT, Names, joined_values, lookup, names, skew_join, valued_pairs
+from tagtrail.operators.keyed import Names, lookup, names, skew_join, valued_pairs
 
 
 def valid_registrations(
@@ -23,18 +23,11 @@ def valid_registrations(
 
 
 def split_by_validity(
-    df: DataFrame,
-    key: str,
-    value: str,
-    pattern: str = REGISTRATION_ANY,
-    codes: DataFrame | None = None,
-    limit: int = LIST_LIMIT,
+    df: DataFrame, key: str, value: str, pattern: str = REGISTRATION_ANY, codes: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Keys with one valid value, and keys with several as a space-joined list."""
+    """Keys with one valid value as (key, value), and keys with several as a row (key, value, n_values) per value."""
     pairs = valued_pairs(valid_registrations(df, value, pattern, codes), key, value)
-    unique = pairs.where(F.col("n_values") == 1).select(key, value)
-    multi = joined_values(pairs.where(F.col("n_values") > 1), key, value, " ", limit, value)
-    return unique, multi
+    return pairs.where(F.col("n_values") == 1).select(key, value), pairs.where(F.col("n_values") > 1)
 
 
 def impute_registration(
@@ -49,33 +42,27 @@ def impute_registration(
     keep: Column | None = None,
     min_share: float = 0.25,
     default: str = "default",
-    limit: int = LIST_LIMIT,
 ) -> DataFrame:
-    """Registrations for the keys that need one: (key, method, part, value).
+    """Registrations for the keys that need one: (key, method, value).
 
-    ``unique`` and ``multi`` come from well-formed values in ``txn``. The other
-    keys get ``imputed``: the code of their dominant state, or ``default``,
-    with 00 after it. Keys without a dominant state get no row.
+    ``unique`` and ``multi`` come from well-formed values in ``txn``; a key with several
+    has a row for each. The other keys get ``imputed``: the code of their dominant state, or ``default``,
+    with 00 after it. Keys without a dominant state are ``remaining``, with a null value.
     """
     keep = clean_tag(key, band=LOOSE_TAG_LENGTH) if keep is None else keep
     wanted = need.where(keep).select(key).distinct()
     found = skew_join(txn, wanted, key, "left_semi")
-    unique, multi = split_by_validity(found, key, value, pattern, limit=limit)
+    pairs = valued_pairs(found.where(F.col(value).rlike(pattern)), key, value)
     states = dominant_category(found, key, state, min_share, unless=F.col(value).rlike(pattern))
-    imputed = lookup(states, codes, state, code, F.lit(default))
-    return reduce(
-        DataFrame.unionByName,
-        [
-            unique.select(key, F.lit("unique").alias("method"), F.lit(0).alias("part"), F.col(value).alias("value")),
-            multi.select(key, F.lit("multi").alias("method"), "part", F.col(value).alias("value")),
-            imputed.select(
-                key,
-                F.lit("imputed").alias("method"),
-                F.lit(0).alias("part"),
-                F.concat(F.col(code), F.lit("00")).alias("value"),
-            ),
-        ],
+    imputed = lookup(states, codes, state, code, F.lit(default)).select(key, F.concat(F.col(code), F.lit("00")).alias("_made"))
+    every = skew_join(wanted, pairs, key, "left").join(imputed, key, "left")
+    method = (
+        F.when(F.col("n_values") == 1, "unique")
+        .when(F.col("n_values") > 1, "multi")
+        .when(F.col("_made").isNotNull(), "imputed")
+        .otherwise("remaining")
     )
+    return every.select(key, method.alias("method"), F.coalesce(F.col(value), F.col("_made")).alias("value"))
 
 
 def unmatched(need: DataFrame, valid: DataFrame, txn: DataFrame, key: str = "tag") -> DataFrame:

@@ -2,7 +2,7 @@
 
 None of them brings a whole group into one task: counts and extremes combine
 before the shuffle, latest-row searches keep one row per key and map task, and
-lists are cut into parts of bounded length.
+the values of a key are rows, not lists.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ Names = str | Iterable[str]
 
 HOT_SHARE = 1e-5
 HOT_ROWS = 5_000_000
-LIST_LIMIT = 10_000
 
 
 def names(value: Names) -> list[str]:
@@ -103,35 +102,12 @@ def share_of_total(counted: DataFrame, key: Names, count: str = "n", out: str =
 
 
 def valued_pairs(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Distinct (key, value) pairs and ``n_values``, the number of values of the key."""
-    pairs = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, value).distinct()
-    return skew_join(pairs, count_by(pairs, key, "n_values"), key)
+    """Distinct (key, value) pairs and ``n_values``, the number of values of the key.
 
-
-def joined_values(
-    pairs: DataFrame, key: Names, value: str, separator: str, limit: int = LIST_LIMIT, out: str = "values"
-) -> DataFrame:
-    """Sorted, joined text of each key's values, from :func:`valued_pairs`.
-
-    A key with up to ``limit`` values gets one row with ``part`` 0. A larger
-    one gets its values spread over numbered parts, none of them left out, so
-    that no task builds an unbounded list. The repartition lets the skew join
-    above split a heavy key.
+    This is the shape of a key's values for every size of key. Rows with a null key or value are left out.
     """
-    key = names(key)
-    parts = F.ceil(F.col("n_values") / F.lit(limit))
-    return (
-        pairs.withColumn("part", F.pmod(F.xxhash64(F.col(value)), parts).cast("int"))
-        .repartition(*key, "part")
-        .groupBy(*key, "part")
-        .agg(F.array_sort(F.collect_list(value)).alias("_list"))
-        .select(
-            *key,
-            "part",
-            F.size("_list").alias("n"),
-            F.array_join(F.col("_list").cast("array<string>"), separator).alias(out),
-        )
-    )
+    pairs = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, value).distinct()
+    return skew_join(pairs, count_by(pairs, key, "n_values"), key)
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: Names, value: str, default: Column | None = None) -> DataFrame:

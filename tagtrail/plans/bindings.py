@@ -287,23 +287,22 @@ TARGET_ITEM = 12
 
 
 def supply_edges(t: Tables) -> DataFrame:
-    """Both directions between a part (even id) and a supplier (odd id) for large returned lines.
+    """Both directions between a part (even id) and a supplier (odd id) for every line.
 
     Every line is an edge by itself, so no pairs are formed within an order.
     """
-    lines = t.lineitem.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45))
     part = F.col("l_partkey") * 2
     supplier = F.col("l_suppkey") * 2 + 1
     both = F.array(
         F.struct(part.alias("src"), supplier.alias("dst")), F.struct(supplier.alias("src"), part.alias("dst"))
     )
-    return lines.select(F.inline(both))
+    return t.lineitem.select(F.inline(both))
 
 
 SUPPLY_EDGES = """supply_edges AS (
-    SELECT l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45
+    SELECT l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem
     UNION ALL
-    SELECT l_suppkey * 2 + 1, l_partkey * 2 FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)"""
+    SELECT l_suppkey * 2 + 1, l_partkey * 2 FROM lineitem)"""
 
 
 def supply_names(t: Tables) -> DataFrame:

@@ -38,11 +38,11 @@ def _top_degrees(t):
     return graph.top_degrees(b.supply_edges(t), b.supply_names(t))
 
 
-_BFS = f"""WITH RECURSIVE {_GRAPH}, {b.BUSIEST}, bfs AS (
-        SELECT id, 0 AS hops FROM busiest
+_BFS = f"""WITH RECURSIVE {_GRAPH}, {b.BUSIEST}, nearest(id, hops) USING KEY (id) AS (
+        SELECT id, 0 FROM busiest
         UNION
-        SELECT e.dst, hops + 1 FROM bfs JOIN supply_edges e ON bfs.id = e.src WHERE hops < 10),
-    nearest AS (SELECT id, min(hops) AS hops FROM bfs GROUP BY id)"""
+        SELECT e.dst, min(n.hops) + 1 FROM nearest n JOIN supply_edges e ON n.id = e.src
+        LEFT JOIN recurring.nearest known ON known.id = e.dst WHERE known.id IS NULL GROUP BY e.dst)"""
 
 
 @query(
@@ -75,7 +75,7 @@ def _separation(t):
     return graph.degrees_of_separation(edges, b.busiest(edges), _target(t))
 
 
-BUDGET, MAX_HOPS = 40.0, 8
+BUDGET = 40.0
 
 
 def _walk(test: str) -> str:
@@ -84,14 +84,14 @@ def _walk(test: str) -> str:
         UNION ALL
         SELECT w.src, e.dst, list_append(w.path, e.dst), w.total + e.weight, hop + 1
         FROM walk w JOIN move_edges e ON w.dst = e.src
-        WHERE (hop = 0 OR w.total <= {BUDGET}) AND hop < {MAX_HOPS}),
+        WHERE hop = 0 OR w.total <= {BUDGET}),
     done AS (SELECT * FROM walk WHERE hop > 0 AND total > {BUDGET})
     SELECT src, dst, array_to_string(path, '>') AS path, round(total, 6) AS total FROM done WHERE {test}"""
 
 
 def _paths(t, first_only):
     seeds = F.col("src") == b.PLACE
-    paths = graph.expand_paths(b.move_edges(t), seeds, BUDGET, MAX_HOPS, first_only=first_only)
+    paths = graph.expand_paths(b.move_edges(t), seeds, BUDGET, first_only=first_only)
     return paths.select("src", "dst", F.array_join("path", ">").alias("path"), F.round("total", 6).alias("total"))
 
 

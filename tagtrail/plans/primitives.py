@@ -428,12 +428,11 @@ def _modal(t):
     "sorted_set_per_key",
     f"""WITH {b.VISITS}, pairs AS (
         SELECT DISTINCT tag, strftime(time, '%Y-%m-%d') AS day FROM visits WHERE plaza = '{b.PLACE}')
-    SELECT tag, 0 AS part, CAST(count(*) AS INTEGER) AS n, string_agg(day, ',' ORDER BY day) AS days
-    FROM pairs GROUP BY tag""",
+    SELECT tag, day, count(*) OVER (PARTITION BY tag) AS n_values FROM pairs""",
 )
 def _sorted_set(t):
     days = b.visits(t).where(F.col("plaza") == b.PLACE).select("tag", F.date_format("time", "yyyy-MM-dd").alias("day"))
-    return keyed.joined_values(keyed.valued_pairs(days, "tag", "day"), "tag", "day", ",", out="days")
+    return keyed.valued_pairs(days, "tag", "day").orderBy("tag", "day")
 
 
 @query("distinct_rows", "SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tagtrail.functions import text
 from tagtrail.functions.text import joined_key, present, unmasked
 from tagtrail.operators import dominant, features, graph, impute, latest, ordered, quality
-from tagtrail.operators.keyed import joined_values, valued_pairs
+from tagtrail.operators.keyed import valued_pairs
 from tagtrail.plans import bindings as b
 from tagtrail.plans.registry import query
 
@@ -70,10 +70,7 @@ def _valid_unique(t):
 
 @query(
     "valid_multi",
-    _VALID
-    + """ SELECT tag, 0 AS part, CAST(count(*) AS INTEGER) AS n,
-        string_agg(registration, ' ' ORDER BY registration) AS registration
-    FROM sized WHERE n_values > 1 GROUP BY tag""",
+    _VALID + " SELECT tag, registration, n_values FROM sized WHERE n_values > 1",
 )
 def _valid_multi(t):
     return impute.split_by_validity(b.registrations(t), "tag", "registration", codes=b.known_code(t))[1]
@@ -93,14 +90,15 @@ def _need(t):
     valid AS (SELECT DISTINCT tag, registration FROM found
               WHERE regexp_matches(registration, '{text.REGISTRATION_LOOSE}')),
     sized AS (SELECT *, count(*) OVER (PARTITION BY tag) AS n_values FROM valid),
-    rest AS (SELECT * FROM found WHERE tag NOT IN (SELECT tag FROM valid))
-    SELECT tag, 'unique' AS method, 0 AS part, registration AS value FROM sized WHERE n_values = 1
+    rest AS (SELECT * FROM found WHERE tag NOT IN (SELECT tag FROM valid)),
+    made AS (SELECT best.tag, coalesce(code, 'default') || '00' AS value
+             FROM ({_dominant_sql('rest', '>= 0.25')}) best LEFT JOIN state_code ON best.state = state_code.state)
+    SELECT tag, CASE WHEN n_values = 1 THEN 'unique' ELSE 'multi' END AS method, registration AS value FROM sized
     UNION ALL
-    SELECT tag, 'multi', 0, string_agg(registration, ' ' ORDER BY registration)
-    FROM sized WHERE n_values > 1 GROUP BY tag
+    SELECT tag, 'imputed', value FROM made
     UNION ALL
-    SELECT best.tag, 'imputed', 0, coalesce(code, 'default') || '00'
-    FROM ({_dominant_sql('rest', '>= 0.25')}) best LEFT JOIN state_code ON best.state = state_code.state""",
+    SELECT tag, 'remaining', NULL FROM need
+    WHERE tag NOT IN (SELECT tag FROM valid) AND tag NOT IN (SELECT tag FROM made)""",
 )
 def _impute_registration(t):
     return impute.impute_registration(_need(t), b.registrations(t), b.state_code(t), keep=F.lit(True))
@@ -143,6 +141,21 @@ def _impute_remaining(t):
     return _priced(t).where(F.col("amount").isNull()).select("tag", "plaza", "vehicle_class")
 
 
+@query(
+    "impute_modal_blank_class",
+    f"""WITH {b.AMOUNTS}, {b.UNPRICED}
+    SELECT u.tag, u.plaza, CASE WHEN u.vehicle_class = 'FURNITURE' THEN '' ELSE u.vehicle_class END AS vehicle_class, s.amount
+    FROM unpriced u LEFT JOIN short_modal s
+    ON u.vehicle_class = s.vehicle_class AND u.plaza = s.plaza AND s.vehicle_class <> 'FURNITURE'""",
+)
+def _impute_blank_class(t):
+    """A blank class is no class: it has no modal amount, and its rows remain."""
+    blank = F.when(F.col("vehicle_class") == "FURNITURE", "").otherwise(F.col("vehicle_class"))
+    table = b.amounts(t, b.SHORT_UNTIL).withColumn("vehicle_class", blank)
+    need = b.unpriced(t).withColumn("vehicle_class", blank)
+    return impute.impute_modal(need, [table]).select("tag", "plaza", "vehicle_class", "amount")
+
+
 @query(
     "impute_modal_single_window",
     f"""WITH {b.AMOUNTS}, {b.UNPRICED}
@@ -346,12 +359,12 @@ def _label(t):
     return features.label_on_day(b.visits(t), "tag", "plaza", "time", b.PLACE, b.DAY)
 
 
-def _feature_sql(keep: str) -> str:
+def _feature_sql(keep: str, start: str = b.START) -> str:
     flags = ", ".join(
         f"max(CASE WHEN plaza = '{b.PLACE}' AND back = {i} THEN 1 ELSE 0 END) AS pre_{i}" for i in range(1, 8)
     )
     return f"""WITH {b.VISITS}, {b.DISTANCE}, {_CLOSE}, dated AS (
-        SELECT *, {_BACK} AS back FROM visits WHERE {_BY_DAY} BETWEEN DATE '{b.START}' AND DATE '{b.DAY}'),
+        SELECT *, {_BACK} AS back FROM visits WHERE {_BY_DAY} BETWEEN DATE '{start}' AND DATE '{b.DAY}'),
     per_tag AS (
         SELECT tag, max(CASE WHEN plaza = '{b.PLACE}' AND back = 0 THEN 1 ELSE 0 END) AS txn_on_day,
                coalesce(round_even(CAST(count(DISTINCT CASE WHEN back >= 1 THEN back END) AS DOUBLE)
@@ -364,10 +377,8 @@ def _feature_sql(keep: str) -> str:
     FROM per_tag LEFT JOIN close USING (tag) WHERE {keep}"""
 
 
-def feature_table(t, how="outer"):
-    return features.feature_table(
-        b.visits(t), b.distance(t), "tag", "plaza", "time", b.PLACE, b.DAY, b.START, how=how
-    )
+def feature_table(t, how="outer", start=b.START):
+    return features.feature_table(b.visits(t), b.distance(t), "tag", "plaza", "time", b.PLACE, b.DAY, start, how=how)
 
 
 @query("feature_table", _feature_sql("true"))
@@ -375,6 +386,15 @@ def _features(t):
     return feature_table(t)
 
 
+# With the window starting on D itself there is no day before it: no error, and every ratio is 0.
+_FIRST_DAY = _feature_sql("true", b.DAY).replace(f"FROM visits WHERE {_BACK} = 1)", "FROM visits WHERE false)")
+
+
+@query("feature_table_first_day", _FIRST_DAY)
+def _features_first_day(t):
+    return feature_table(t, start=b.DAY)
+
+
 @query("feature_table_left", _feature_sql("was_active = 1"))
 def _features_left(t):
     return feature_table(t, "left")
@@ -403,21 +423,20 @@ def _history(t):
     return latest.history_vector(b.visits(t), "tag", "plaza", "time")
 
 
-HOP_BUDGET, MAX_HOPS = 48.0, 12
-
-
+HOP_BUDGET = 48.0
 
 
 def _ends_sql(prefix: str) -> str:
     return f"""lane_edges AS (
-        SELECT to_plaza || to_entry_lane AS src, from_plaza || from_entry_lane AS dst, mean_hours AS weight
+        SELECT to_plaza || to_entry_lane AS src, from_plaza || from_entry_lane AS dst,
+               greatest(1, CAST(floor(mean_hours * 60.0::DOUBLE + 0.5::DOUBLE) AS BIGINT)) AS minutes
         FROM ({prefix}) WHERE mean_hours > 0),
     walk AS (
-        SELECT dst, weight AS total, 0 AS hop FROM lane_edges WHERE starts_with(src, '{b.PLACE}')
-        UNION ALL
-        SELECT e.dst, w.total + e.weight, hop + 1 FROM walk w JOIN lane_edges e ON w.dst = e.src
-        WHERE (hop = 0 OR w.total <= {HOP_BUDGET}) AND hop < {MAX_HOPS}),
-    ends AS (SELECT DISTINCT dst FROM walk WHERE hop > 0 AND total > {HOP_BUDGET})"""
+        SELECT dst, minutes AS total, true AS seed FROM lane_edges WHERE starts_with(src, '{b.PLACE}')
+        UNION
+        SELECT e.dst, w.total + e.minutes, false FROM walk w JOIN lane_edges e ON w.dst = e.src
+        WHERE w.seed OR w.total <= {HOP_BUDGET} * 60),
+    ends AS (SELECT DISTINCT dst FROM walk WHERE NOT seed AND total > {HOP_BUDGET} * 60)"""
 
 
 # Lanes are named by the entry lane at both ends here, so that chains connect.
@@ -441,7 +460,7 @@ def entry_edges(t):
 
 
 def _lane_ends(t):
-    return graph.reached_ends(entry_edges(t), F.col("src").startswith(b.PLACE), HOP_BUDGET, MAX_HOPS)
+    return graph.reached_ends(entry_edges(t), F.col("src").startswith(b.PLACE), HOP_BUDGET)
 
 
 @query("reached_lanes", f"WITH {_ENDS} SELECT dst FROM ends")
@@ -577,12 +596,10 @@ def _valid_by_code(t):
 @query(
     "grouped_values_list",
     f"""WITH {b.VISITS}, pairs AS (SELECT DISTINCT tag, plaza FROM visits)
-    SELECT tag, 0 AS part, CAST(count(*) AS INTEGER) AS n, string_agg(plaza, ' ' ORDER BY plaza) AS plazas
-    FROM pairs GROUP BY tag HAVING count(*) > 1""",
+    SELECT * FROM (SELECT tag, plaza, count(*) OVER (PARTITION BY tag) AS n_values FROM pairs) WHERE n_values > 1""",
 )
 def _grouped_values(t):
-    pairs = valued_pairs(b.visits(t), "tag", "plaza").where(F.col("n_values") > 1)
-    return joined_values(pairs, "tag", "plaza", " ", out="plazas")
+    return valued_pairs(b.visits(t), "tag", "plaza").where(F.col("n_values") > 1)
 
 
 @query(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +16,6 @@ _SETTINGS = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
-_local_root: str | None = None
-
-
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, **extra: str) -> SparkSession:
     """A session with the settings the operators are tuned for.
 
@@ -41,20 +37,30 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may do without that setting; it then gets a
-    temporary folder, since driver and executors share the one machine.
+    Only a local session may do without that setting; its scratch then lies below its warehouse.
     """
-    global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        if _local_root is None:
-            _local_root = tempfile.mkdtemp(prefix="tagtrail-")
-        root = _local_root
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the cluster's default file system where it has none."""
+    if "://" in path or path.startswith("file:"):
+        return path
+    base = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").rstrip("/")
+    return f"{base}/{path.lstrip('/')}" if base != "file:" else f"file:///{path.lstrip('/')}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder that no plan reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` once and read it back.
 

@@ -8,7 +8,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tagtrail.functions.text import trimmed_number
 
-REAL_VERTEX_LIMIT = 6487  # fixed value: ids from here on are not real characters
 
 
 def read_delimited(
@@ -44,15 +43,16 @@ def read_ragged(spark: SparkSession, path: str, columns: tuple[str, ...], min_fi
     )
 
 
-def read_quoted_names(spark: SparkSession, path: str, below: int = REAL_VERTEX_LIMIT) -> DataFrame:
-    """(id, name) from lines such as ``17 "A NAME"``; other lines and ids from ``below`` on are dropped."""
+def read_quoted_names(spark: SparkSession, path: str, below: int | None = None) -> DataFrame:
+    """(id, name) from lines such as ``17 "A NAME"``; other lines, lines without a number, and ids from ``below`` on if it is given, are dropped."""
     fields = F.split("value", '"')
-    return (
+    named = (
         spark.read.text(path)
         .where(F.size(fields) > 1)
         .select(trimmed_number(F.get(fields, 0)).alias("id"), F.get(fields, 1).alias("name"))
-        .where(F.col("id") < below)
+        .where(F.col("id").isNotNull())
     )
+    return named if below is None else named.where(F.col("id") < below)
 
 
 def read_adjacency(spark: SparkSession, path: str, delimiter: str = r"\s+") -> DataFrame:

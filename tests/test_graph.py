@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tagtrail.operators import graph, regression
 
+# A toy graph with a known answer.
 EDGES = [
     ("a", "b", 10.0), ("b", "c", 60.0), ("c", "d", 60.0), ("d", "e", 60.0), ("f", "c", 60.0),
     ("e", "f", 60.0), ("e", "d", 60.0), ("d", "a", 60.0), ("a", "e", 60.0),
@@ -32,29 +33,40 @@ ALL = [
 
 
 def test_collect_all_paths(toy):
-    assert shown(graph.expand_paths(toy, F.col("src") == "a", 200, 20)) == ALL
+    assert shown(graph.expand_paths(toy, F.col("src") == "a", 200)) == ALL
 
 
 def test_first_crossing(toy):
-    out = shown(graph.expand_paths(toy, F.col("src") == "a", 200, 20, first_only=True))
+    out = shown(graph.expand_paths(toy, F.col("src") == "a", 200, first_only=True))
     assert out == [p for p in ALL if p[2] == 240.0]
 
 
 def test_ends_without_paths(toy):
-    out = graph.reached_ends(toy, F.col("src") == "a", 200, 20)
+    out = graph.reached_ends(toy, F.col("src") == "a", 200)
     assert sorted(r.dst for r in out.collect()) == ["c", "d", "e", "f"]
 
 
-def test_cycle_ends_at_the_hop_bound(spark):
+def test_cycle_goes_on_until_the_budget_is_spent(spark):
     loop = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, weight double")
-    assert shown(graph.expand_paths(loop, F.col("src") == "a", 10, 4)) == []
-    assert [(d, t) for d, _, t in shown(graph.expand_paths(loop, F.col("src") == "a", 3, 9))] == [("a", 4.0)]
+    assert [(d, t) for d, _, t in shown(graph.expand_paths(loop, F.col("src") == "a", 10))] == [("b", 11.0)]
+    assert [(d, t) for d, _, t in shown(graph.expand_paths(loop, F.col("src") == "a", 3))] == [("a", 4.0)]
+    assert [r.dst for r in graph.reached_ends(loop, F.col("src") == "a", 10).collect()] == ["b"]
+
+
+def test_a_long_chain_is_followed_to_its_end(spark):
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(16)], "src int, dst int, weight double")
+    start = spark.createDataFrame([(0,)], "id int")
+    assert {r.id: r.hops for r in graph.hop_distance(chain, start).collect()} == {i: float(i) for i in range(17)}
+    assert tuple(graph.degrees_of_separation(chain, start, spark.createDataFrame([(16,)], "id int")).first()) == (16, 1)
+    assert [r.dst for r in graph.expand_paths(chain, F.col("src") == 0, 12.5).collect()] == [13]
+    assert [r.dst for r in graph.reached_ends(chain, F.col("src") == 0, 12.5).collect()] == [13]
+    assert graph.expand_paths(chain, F.col("src") == 0, 99).collect() == []
 
 
 def test_weights_must_be_positive(spark):
     bad = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 0.0)], "src string, dst string, weight double")
     with pytest.raises(PySparkException, match="above 0"):
-        graph.expand_paths(bad, F.col("src") == "a", 10, 4).collect()
+        graph.expand_paths(bad, F.col("src") == "a", 10).collect()
 
 
 def test_diamond_distance(spark):

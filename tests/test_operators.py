@@ -97,7 +97,7 @@ def test_split_by_validity(spark, rows):
     codes = spark.createDataFrame([("KA",)], "code string")
     unique, multi = impute.split_by_validity(df, "tag", "reg", codes=codes)
     assert rows(unique) == [("a", "KA01AB1")]
-    assert rows(multi) == [("b", 0, 2, "KA01AB1 KA01AB2")]
+    assert rows(multi) == [("b", "KA01AB1", 2), ("b", "KA01AB2", 2)]
 
 
 def test_imputed_registration_methods(spark, rows):
@@ -117,10 +117,13 @@ def test_imputed_registration_methods(spark, rows):
     codes = spark.createDataFrame([("KL", "Kerala")], "code string, state string")
     out = rows(impute.impute_registration(need, txn, codes, keep=F.lit(True)))
     assert out == [
-        ("d", "imputed", 0, "default00"),
-        ("i", "imputed", 0, "KL00"),
-        ("m", "multi", 0, "KA01AB1 KA01AB2"),
-        ("u", "unique", 0, "KA01AB1"),
+        ("absent", "remaining", None),
+        ("d", "imputed", "default00"),
+        ("i", "imputed", "KL00"),
+        ("m", "multi", "KA01AB1"),
+        ("m", "multi", "KA01AB2"),
+        ("n", "remaining", None),
+        ("u", "unique", "KA01AB1"),
     ]
 
 

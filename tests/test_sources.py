@@ -53,8 +53,9 @@ def test_ragged_lines(spark, rows, file):
 
 
 def test_quoted_names(spark, rows, file):
-    df = text.read_quoted_names(spark, file('1 "24-HOUR MAN"\n2 no quotes\n6487 "NOT REAL"\nx "BAD ID"\n'))
-    assert rows(df) == [(1, "24-HOUR MAN")]
+    path = file('1 "24-HOUR MAN"\n2 no quotes\n6487 "NOT REAL"\nx "BAD ID"\n')
+    assert rows(text.read_quoted_names(spark, path)) == [(1, "24-HOUR MAN"), (6487, "NOT REAL")]
+    assert rows(text.read_quoted_names(spark, path, below=6487)) == [(1, "24-HOUR MAN")]
 
 
 def test_adjacency_lines(spark, rows, file):
