@@ -188,7 +188,7 @@ def reached_cohort(
     ts: str,
     input_place: Column,
     on: str,
-    fan_out: bool = True,
+    fan_out: bool = False,
 ) -> DataFrame:
     """Keys that were at one of the ``ends`` on the day before ``on``, with their events at the input place.
 

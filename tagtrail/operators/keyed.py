@@ -35,6 +35,19 @@ def hot_keys(df: DataFrame, key: Names, share: float = HOT_SHARE, rows: int = HO
     )
 
 
+def _common(key: Column, kind: str, other: str) -> Column:
+    """The key in a type in which equal keys of both types hash alike."""
+    integral = ("tinyint", "smallint", "int", "bigint")
+    real = lambda k: k in ("float", "double") or k.startswith("decimal")
+    if kind in integral and other in integral:
+        return key.cast("bigint")
+    if (real(kind) or real(other)) and all(real(k) or k in integral for k in (kind, other)):
+        return key.cast("double") + F.lit(0.0)  # makes a negative zero a zero
+    if kind == other:
+        return key
+    return key.cast(other if kind == "string" else kind if other == "string" else "timestamp")
+
+
 def skew_join(rows: DataFrame, per_key: DataFrame, on: Names, how: str = "inner") -> DataFrame:
     """Join rows to a table that is already combined per key, so that a hot key can be split.
 
@@ -44,11 +57,8 @@ def skew_join(rows: DataFrame, per_key: DataFrame, on: Names, how: str = "inner"
     it shuffle the small, combined side once more, and the split applies.
     """
     on = names(on)
-    plain = ("bigint", "int", "string", "date", "timestamp", "timestamp_ntz")
     kinds, others = dict(rows.dtypes), dict(per_key.dtypes)
-    if any(kinds[c] != others[c] or kinds[c] not in plain for c in on):
-        return rows.join(per_key, on, how)  # equal keys of unlike types may hash differently
-    spread = F.xxhash64(*on)
+    spread = F.xxhash64(*[_common(F.col(c), kinds[c], others[c]) for c in on])
     joined = rows.withColumn("_spread", spread).join(per_key.withColumn("_spread", spread), [*on, "_spread"], how)
     return joined.drop("_spread")
 

@@ -27,13 +27,14 @@ def first_event(df: DataFrame, key: Names, ts: str, tie: Names = ()) -> DataFram
 def multi_valued_latest(df: DataFrame, entity: Names, value: str, ts: str) -> DataFrame:
     """Entities with more than one distinct value, and the latest of their values.
 
-    More than one distinct value means that the smallest and largest differ,
-    so one combined aggregation answers both questions.
+    Rows first reduce to the latest time of each value, which hashes; only those
+    few are compared. More than one distinct value means that the smallest and largest differ,
+    so one aggregation answers both questions.
     """
     entity = names(entity)
+    reduced = df.where(F.col(value).isNotNull()).groupBy(*entity, value).agg(F.max(ts).alias(ts))
     return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*entity)
+        reduced.groupBy(*entity)
         .agg(
             F.min(value).alias("_low"),
             F.max(value).alias("_high"),

@@ -209,3 +209,15 @@ def test_skew_join_accepts_keys_of_unlike_types(spark, rows):
     left = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     right = spark.createDataFrame([(1,), (3,)], "k bigint")
     assert rows(keyed.skew_join(left, right, "k", "left_semi")) == [(1, "a")]
+
+
+@pytest.mark.parametrize(
+    ("kind", "other"),
+    [("int", "double"), ("double", "float"), ("decimal(9,2)", "int"), ("string", "int"), ("boolean", "boolean"), ("smallint", "bigint")],
+)
+def test_skew_join_equals_a_plain_join_for_all_types(spark, rows, kind, other):
+    left = spark.range(4).select(F.col("id").cast("int").cast(kind).alias("k"), F.col("id").alias("v"))
+    right = spark.range(1, 3).select(F.col("id").cast("int").cast(other).alias("k")).distinct()
+    assert keyed.skew_join(left, right, "k", "left_semi").count() == left.join(right, "k", "left_semi").count() > 0
+    zero = spark.sql("SELECT -0.0D AS k"), spark.sql("SELECT 0 AS k")
+    assert keyed.skew_join(*zero, "k").count() == 1
