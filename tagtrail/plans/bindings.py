@@ -284,6 +284,8 @@ PAIR_SCORES = (
 # The score and strength a similar item must exceed on these tables.
 MIN_SCORE, MIN_STRENGTH = 0.8, 5
 TARGET_ITEM = 12
+# Fixed value: a support that about half of all pairs reach at the tested scale.
+SUPPORT = 170
 
 
 def supply_edges(t: Tables) -> DataFrame:

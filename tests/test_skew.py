@@ -107,10 +107,12 @@ def brute_force(table):
     return out
 
 
-@pytest.mark.parametrize("limit, block, chunk", [(10_000, 512, 512), (10, 512, 512), (10, 7, 2), (0, 5, 16)])
-def test_similarity_routes_agree_with_brute_force(ratings, limit, block, chunk):
+@pytest.mark.parametrize("chunk", [1_000, 7, 2])
+def test_similarity_agrees_with_brute_force(ratings, chunk):
     df, table = ratings
-    out = similarity.item_similarity(df, user_limit=limit, block_items=block, chunk_users=chunk).collect()
+    sim = similarity.item_similarity(df, chunk=chunk)
+    out = sim.collect()
+    assert "Python" not in final_plan(sim) and "Pandas" not in final_plan(sim)
     got = {(r.item_1, r.item_2): (round(r.score, 9), r.strength) for r in out}
     assert len(got) == len(out)
     assert got == brute_force(table)
@@ -119,8 +121,8 @@ def test_similarity_routes_agree_with_brute_force(ratings, limit, block, chunk):
 def test_minimum_strength_is_exact(ratings):
     df, table = ratings
     want = {p: v for p, v in brute_force(table).items() if v[1] >= 4}
-    for limit in (10_000, 10):
-        out = similarity.item_similarity(df, min_strength=4, user_limit=limit, block_items=8).collect()
+    for chunk in (1_000, 8):
+        out = similarity.item_similarity(df, min_strength=4, chunk=chunk).collect()
         assert {(r.item_1, r.item_2): (round(r.score, 9), r.strength) for r in out} == want
 
 
