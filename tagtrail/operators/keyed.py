@@ -13,28 +13,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 Names = str | Iterable[str]
 
-HOT_SHARE = 1e-5
-HOT_ROWS = 5_000_000
-
 
 def names(value: Names) -> list[str]:
     return [value] if isinstance(value, str) else list(value)
 
 
-def hot_keys(df: DataFrame, key: Names, share: float = HOT_SHARE, rows: int = HOT_ROWS) -> DataFrame:
-    """Keys that hold at least ``share`` of all rows and at least ``rows`` rows.
-
-    There can be no more than ``1 / share`` of them whatever the data size, so
-    the result may be broadcast. Only the key column is read.
-    """
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return (
-        df.groupBy(*names(key))
-        .agg(F.count(F.lit(1)).alias("key_rows"))
-        .where((F.col("key_rows") >= rows) & (F.col("key_rows") >= total * F.lit(share)))
-    )
-
-
 def _common(key: Column, kind: str, other: str) -> Column:
     """The key in a type in which equal keys of both types hash alike."""
     integral = ("tinyint", "smallint", "int", "bigint")

@@ -1,17 +1,18 @@
 """Previous and next event per key.
 
-A window over a key sorts all its rows in one task. Keys that hold a large
-share of the rows are therefore cut into time slices: each slice is its own
-window partition, and the one event that crosses a slice border is taken from
-a table with a single row per slice. The result is that of the whole window.
+A window over a key sorts all its rows in one task. Rows are therefore dealt out by
+ranges of (key, time) first, whatever the size of a key, and the window runs inside (range,
+key). A border between two ranges cuts one key at most, so the events that lie at borders
+are few: a small table carries them across. The result is that of the whole window, by one route for all keys.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tagtrail.functions.dates import hours_between, minute_index
-from tagtrail.operators.keyed import HOT_ROWS, HOT_SHARE, Names, hot_keys, latest_rows, names
+from tagtrail.functions.dates import hours_between
+from tagtrail.operators.keyed import Names, latest_rows, names
+from tagtrail.session import materialize
 
 
 def with_neighbour(
@@ -22,84 +23,69 @@ def with_neighbour(
     out: str,
     direction: str = "prev",
     tie: Names = (),
-    slice_minutes: int = 60,
-    hot_share: float | None = HOT_SHARE,
-    hot_rows: int = HOT_ROWS,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add ``out``, a struct of the ``carry`` columns of the neighbouring event of the same key.
 
     Events of one key at one time collapse to the one with the smallest
-    ``tie`` columns. ``out`` is null for the first (or last) event. ``df`` is
-    read twice, and a third time for hot keys only, so materialize it first if
-    it is costly to derive. Pass ``hot_share=None`` where keys are known to be
-    small, to save the count.
+    ``tie`` columns. ``out`` is null for the first (or last) event. Rows with a null
+    key have no neighbours and are left out. The rows are written once, sorted out into ``ranges``
+    (by default as many as their size asks for), so the ranges stay as they are in what follows.
     """
     key, carry, tie = names(key), names(carry), names(tie)
     step = {"prev": F.lag, "next": F.lead}[direction]
     neighbour = F.struct(*carry)
     for k in key:
         df = df.where(F.col(k).isNotNull())
+    dealt = df.repartitionByRange(*([ranges] if ranges else []), *key, ts)
+    dealt = materialize(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
 
-    if hot_share is None:
-        part = key
-        marked = df
-    else:
-        part = [*key, "_slice"]
-        hot = hot_keys(df, key, hot_share, hot_rows).select(*key, F.lit(True).alias("_hot"))
-        at = F.floor(minute_index(ts) / slice_minutes)
-        marked = (
-            df.join(F.broadcast(hot), key, "left").withColumn("_slice", F.when(F.col("_hot"), at)).drop("_hot")
-        )
-
+    part = ["_range", *key]
     window = Window.partitionBy(*part).orderBy(ts, *tie)
     single = (
-        marked.withColumn("_before", F.lag(ts).over(window))
+        dealt.withColumn("_before", F.lag(ts).over(window))
         .where(F.col("_before").isNull() | (F.col("_before") != F.col(ts)))
         .drop("_before")
     )
     linked = single.withColumn(out, step(neighbour).over(window))
-    if hot_share is None:
-        return linked
 
+    # a key in several ranges crosses a border, so there are fewer of them than ranges
+    cut = dealt.groupBy(*key).agg(F.min("_range").alias("_low"), F.max("_range").alias("_high")).where("_low < _high")
     border = F.col(ts).desc() if direction == "prev" else F.col(ts).asc()
-    heads = latest_rows(
-        df.join(F.broadcast(hot), key, "left_semi").withColumn("_slice", at),
-        part,
-        [border, *[F.col(c).asc() for c in tie]],
-    )
-    bridge = heads.select(
-        *part, step(neighbour).over(Window.partitionBy(*key).orderBy("_slice")).alias("_bridge")
+    ends = latest_rows(
+        dealt.join(F.broadcast(cut.select(*key)), key, "left_semi"), part, [border, *[F.col(c).asc() for c in tie]]
     )
+    bridge = ends.select(*part, step(neighbour).over(Window.partitionBy(*key).orderBy("_range")).alias("_bridge"))
     return (
-        linked.join(bridge, part, "left")
+        linked.join(F.broadcast(bridge), part, "left")
         .withColumn(out, F.coalesce(F.col(out), F.col("_bridge")))
-        .drop("_bridge", "_slice")
+        .drop("_bridge", "_range")
     )
 
 
-def previous_event(df: DataFrame, key: Names, ts: str, carry: Names, tie: Names = (), **skew) -> DataFrame:
+def previous_event(df: DataFrame, key: Names, ts: str, carry: Names, tie: Names = (), **how) -> DataFrame:
     """Each event with ``prev_<column>`` of the event before it."""
     carry = names(carry)
-    linked = with_neighbour(df, key, ts, carry, "_prev", "prev", tie, **skew)
+    linked = with_neighbour(df, key, ts, carry, "_prev", "prev", tie, **how)
     return linked.select("*", *[F.col("_prev")[c].alias(f"prev_{c}") for c in carry]).drop("_prev")
 
 
-def next_event(df: DataFrame, key: Names, ts: str, carry: Names, tie: Names = (), **skew) -> DataFrame:
+def next_event(df: DataFrame, key: Names, ts: str, carry: Names, tie: Names = (), **how) -> DataFrame:
     """Each event with ``next_<column>`` of the event after it."""
     carry = names(carry)
-    linked = with_neighbour(df, key, ts, carry, "_next", "next", tie, **skew)
+    linked = with_neighbour(df, key, ts, carry, "_next", "next", tie, **how)
     return linked.select("*", *[F.col("_next")[c].alias(f"next_{c}") for c in carry]).drop("_next")
 
 
 def transitions(
-    df: DataFrame, key: str, ts: str, place: str, carry: Names = (), tie: Names = (), **skew
+    df: DataFrame, key: str, ts: str, place: str, carry: Names = (), tie: Names = (), **how
 ) -> DataFrame:
     """Consecutive events of a key at two different places, with the whole hours between.
 
     Columns: the key, ``from_*`` and ``to_*`` for time, place and ``carry``, and ``hours``.
     """
     fields = [ts, place, *names(carry)]
-    linked = with_neighbour(df.select(key, *fields), key, ts, fields, "_prev", "prev", tie or place, **skew)
+    linked = with_neighbour(df.select(key, *fields), key, ts, fields, "_prev", "prev", tie or place, **how)
     return (
         linked.where(F.col("_prev").isNotNull())
         .select(

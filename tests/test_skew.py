@@ -34,39 +34,39 @@ def expected(df, step):
     return single.withColumn("p", step("plaza").over(window)).withColumn("l", step("lane").over(window))
 
 
-@pytest.mark.parametrize("minutes", [10, 60, 24 * 60])
+@pytest.mark.parametrize("ranges", [None, 1, 5, 60])
 @pytest.mark.parametrize("direction, step", [("previous", F.lag), ("next", F.lead)])
-def test_sliced_keys_give_whole_key_neighbours(crowded, rows, direction, step, minutes):
+def test_ranges_give_whole_key_neighbours(crowded, rows, direction, step, ranges):
     fn = {"previous": ordered.previous_event, "next": ordered.next_event}[direction]
-    out = fn(
-        crowded, "tag", "time", ["plaza", "lane"], tie=["plaza", "lane"], hot_share=0.2, hot_rows=1, slice_minutes=minutes
-    )
+    out = fn(crowded, "tag", "time", ["plaza", "lane"], tie=["plaza", "lane"], ranges=ranges)
     names = [c for c in out.columns if c.endswith("_plaza") or c.endswith("_lane")]
     got = out.select("tag", "plaza", "lane", "time", *names)
     assert rows(got) == rows(expected(crowded, step).select("tag", "plaza", "lane", "time", "p", "l"))
 
 
-def test_every_key_may_be_sliced(crowded, rows):
-    args = (crowded, "tag", "time", "plaza")
-    tie = ["plaza", "lane"]
-    sliced = ordered.transitions(*args, tie=tie, carry="lane", hot_share=0.0, hot_rows=1)
-    whole = ordered.transitions(*args, tie=tie, carry="lane", hot_share=None)
-    assert rows(sliced) == rows(whole)
+def test_a_burst_of_one_key_is_spread_over_tasks(spark, rows):
+    burst = spark.range(600).select(
+        F.lit("hot").alias("tag"), (F.col("id") % 7).cast("string").alias("plaza"), F.lit("x").alias("lane"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id / 10.0)").alias("time"),
+    )
+    out = ordered.previous_event(burst, "tag", "time", ["plaza", "lane"], tie=["plaza", "lane"], ranges=6)
+    got = out.select("tag", "plaza", "lane", "time", "prev_plaza", "prev_lane")
+    assert rows(got) == rows(expected(burst, F.lag).select("tag", "plaza", "lane", "time", "p", "l"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = out.select(F.spark_partition_id().alias("task")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert tasks > 1
 
 
 def test_neighbours_do_not_depend_on_partitioning(crowded, rows):
     def run(df):
-        return rows(ordered.transitions(df, "tag", "time", "plaza", "lane", ["plaza", "lane"], hot_share=0.2, hot_rows=1))
+        return rows(ordered.transitions(df, "tag", "time", "plaza", "lane", ["plaza", "lane"], ranges=4))
 
     assert run(crowded.repartition(1)) == run(crowded.repartition(7)) == run(crowded.orderBy(F.desc("time")))
 
 
-def test_hot_keys_are_bounded_by_the_share(crowded):
-    assert [r.tag for r in keyed.hot_keys(crowded, "tag", 0.2, 1).collect()] == ["hot"]
-    assert keyed.hot_keys(crowded, "tag", 0.2, 10_000).count() == 0
-    assert keyed.hot_keys(crowded, "tag", 0.01, 1).count() <= 100
-
-
 def test_values_of_a_key_have_one_shape(spark):
     data = [("big", f"v{i:03d}") for i in range(100)] + [("small", "a"), ("small", "b"), ("small", "b"), ("none", None)]
     out = keyed.valued_pairs(spark.createDataFrame(data, "k string, v string"), "k", "v").collect()
