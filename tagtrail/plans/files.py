@@ -12,7 +12,7 @@ from tagtrail.session import qualified, scratch_path
 from tagtrail.sources import sinks, text
 
 
-def _written(t, df, label: str, sep: str) -> str:
+def written_lines(t, df, label: str, sep: str) -> str:
     """A text file of delimited lines without header, made from ``df``."""
     path = scratch_path(t.spark, label)
     fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
@@ -22,7 +22,7 @@ def _written(t, df, label: str, sep: str) -> str:
 
 @query("read_comma_positional", f"WITH {b.VISITS} SELECT tag, plaza, entry_lane, exit_lane, time FROM visits")
 def _comma(t):
-    path = _written(t, b.visits(t), "visits", ",")
+    path = written_lines(t, b.visits(t), "visits", ",")
     return text.read_delimited(t.spark, path, schemas.TAG_PLAZA_LANES).withColumn("tag", F.col("tag").cast("bigint"))
 
 
@@ -38,18 +38,18 @@ def _rated(t):
 
 @query("read_tab_ratings", _RATED)
 def _tab(t):
-    return text.read_delimited(t.spark, _written(t, _rated(t), "ratings", "\t"), schemas.RATINGS, "\t")
+    return text.read_delimited(t.spark, written_lines(t, _rated(t), "ratings", "\t"), schemas.RATINGS, "\t")
 
 
 @query("read_two_character_delimiter", _RATED)
 def _double_colon(t):
-    return text.read_delimited(t.spark, _written(t, _rated(t), "ratings", "::"), schemas.RATINGS, "::")
+    return text.read_delimited(t.spark, written_lines(t, _rated(t), "ratings", "::"), schemas.RATINGS, "::")
 
 
 @query("read_pipe_dimension", "SELECT CAST(p_partkey AS INTEGER) AS item, p_name AS title FROM part")
 def _pipe(t):
     rows = t.part.select("p_partkey", "p_name", "p_brand", "p_type")
-    path = _written(t, rows, "items", "|")
+    path = written_lines(t, rows, "items", "|")
     return text.read_delimited(t.spark, path, schemas.ITEMS + ", brand string, kind string", "|").select("item", "title")
 
 
@@ -94,7 +94,7 @@ def _quoted(t):
     "SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem UNION ALL SELECT l_orderkey, l_suppkey FROM lineitem",
 )
 def _adjacency(t):
-    path = _written(t, t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey"), "adjacency", " ")
+    path = written_lines(t, t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey"), "adjacency", " ")
     return text.read_adjacency(t.spark, path)
 
 
@@ -128,7 +128,7 @@ def _in_memory(t):
 )
 def _typed(t):
     rows = t.customer.select("c_custkey", "c_name", "c_nationkey", F.col("c_custkey") % 100)
-    lines = text.read_lines(t.spark, _written(t, rows, "people", ","))
+    lines = text.read_lines(t.spark, written_lines(t, rows, "people", ","))
     names = ["id", "name", "age", "num_friends"]
     fields = [field("line", ",", i) for i in range(4)]
     kinds = ["int", "string", "int", "int"]
@@ -138,7 +138,7 @@ def _typed(t):
 
 @query("read_by_uri", "SELECT n_nationkey AS item, n_name AS title FROM nation")
 def _uri(t):
-    path = _written(t, t.nation.select("n_nationkey", "n_name"), "nations", ",")
+    path = written_lines(t, t.nation.select("n_nationkey", "n_name"), "nations", ",")
     return text.read_delimited(t.spark, qualified(t.spark, path), schemas.ITEMS)
 
 

@@ -26,7 +26,7 @@ def _last_event(t):
     return latest.last_event(b.visits(t), "tag", "time", b.DAY, ["plaza", "entry_lane", "exit_lane"])
 
 
-def _dominant_sql(source: str, test: str) -> str:
+def dominant_sql(source: str, test: str) -> str:
     return f"""SELECT tag, state, CAST(n AS BIGINT) AS count, CAST(total AS BIGINT) AS total,
                CAST(n AS DOUBLE) / total AS share FROM (
         SELECT *, sum(n) OVER (PARTITION BY tag) AS total,
@@ -35,12 +35,12 @@ def _dominant_sql(source: str, test: str) -> str:
     WHERE pos = 1 AND CAST(n AS DOUBLE) / total {test}"""
 
 
-@query("dominant_category", f"WITH {b.TAG_STATES} {_dominant_sql('tag_states', '>= 0.25')}")
+@query("dominant_category", f"WITH {b.TAG_STATES} {dominant_sql('tag_states', '>= 0.25')}")
 def _dominant_category(t):
     return dominant.dominant_category(b.tag_states(t), "tag", "state", 0.25)
 
 
-@query("dominant_category_majority", f"WITH {b.TAG_STATES} {_dominant_sql('tag_states', '> 0.5')}")
+@query("dominant_category_majority", f"WITH {b.TAG_STATES} {dominant_sql('tag_states', '> 0.5')}")
 def _dominant_majority(t):
     return dominant.dominant_category(b.tag_states(t), "tag", "state", 0.5, strict=True)
 
@@ -50,7 +50,7 @@ def _dominant_majority(t):
     f"""WITH {b.TAG_STATES}, {b.STATE_CODE},
     clean AS (SELECT * FROM tag_states WHERE regexp_matches(tag, '^(34|91)') AND length(tag) BETWEEN 20 AND 24)
     SELECT best.tag, best.state, best.count, best.total, coalesce(code, best.tag) AS code
-    FROM ({_dominant_sql('clean', '>= 0.25')}) best LEFT JOIN state_code ON best.state = state_code.state""",
+    FROM ({dominant_sql('clean', '>= 0.25')}) best LEFT JOIN state_code ON best.state = state_code.state""",
 )
 def _tag_state(t):
     return dominant.tag_state(b.tag_states(t), b.state_code(t))
@@ -92,7 +92,7 @@ def _need(t):
     sized AS (SELECT *, count(*) OVER (PARTITION BY tag) AS n_values FROM valid),
     rest AS (SELECT * FROM found WHERE tag NOT IN (SELECT tag FROM valid)),
     made AS (SELECT best.tag, coalesce(code, 'default') || '00' AS value
-             FROM ({_dominant_sql('rest', '>= 0.25')}) best LEFT JOIN state_code ON best.state = state_code.state)
+             FROM ({dominant_sql('rest', '>= 0.25')}) best LEFT JOIN state_code ON best.state = state_code.state)
     SELECT tag, CASE WHEN n_values = 1 THEN 'unique' ELSE 'multi' END AS method, registration AS value FROM sized
     UNION ALL
     SELECT tag, 'imputed', value FROM made
@@ -551,7 +551,7 @@ def _funnel(t):
         SELECT tag, registration AS state FROM registrations WHERE translate(registration, 'X', '') <> '')
     SELECT tag, state AS registration, count, total, share,
            regexp_matches(state, '{text.REGISTRATION_STRICT}') AS well_formed
-    FROM ({_dominant_sql('clean', '> 0.5')})""",
+    FROM ({dominant_sql('clean', '> 0.5')})""",
 )
 def _modelled(t):
     clean = b.registrations(t).where(present("registration") & unmasked("registration"))
