@@ -13,8 +13,9 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("local[4]", 4, **{"spark.driver.memory": "4g"})
+def spark(tmp_path_factory):
+    scratch = str(tmp_path_factory.mktemp("scratch"))
+    session = build_session("local[4]", 4, **{"spark.driver.memory": "4g", "spark.checkpoint.dir": scratch})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
