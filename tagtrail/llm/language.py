@@ -141,8 +141,9 @@ def fit_language(
     if not rows.num_rows:
         return LanguageModel([], np.zeros((BUCKETS, 1)), np.zeros((1, 0)), np.zeros(0))
     shares = np.zeros((rows.num_rows, BUCKETS), np.float32)
-    for i, (at, share) in enumerate(zip(rows.column("at").to_pylist(), rows.column("share").to_pylist(), strict=True)):
-        shares[i, at] = share
+    at, share = (rows.column(c).combine_chunks() for c in ("at", "share"))
+    owner = np.repeat(np.arange(len(at)), np.asarray(at.value_lengths()))
+    shares[owner, np.asarray(at.flatten())] = np.asarray(share.flatten())
     names, target = np.unique(np.array(rows.column("lang").to_pylist(), dtype=object).astype(str), return_inverse=True)
     return _descend(shares, target, [str(x) for x in names], dimensions, epochs, rate, reject)
 
