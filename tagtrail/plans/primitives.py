@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tagtrail.functions import collections as arrays, dates, numeric, text
 from tagtrail.operators import keyed, relational
+from tagtrail.operators.dominant import modal_amount
 from tagtrail.operators.layout import hash_partition, partition_sizes
+from tagtrail.operators.ordered import previous_event
 from tagtrail.plans import bindings as b
 from tagtrail.plans.registry import query
 from tagtrail.session import materialize
@@ -119,10 +121,10 @@ def _rejection(t):
 @query(
     "full_match_filter",
     f"""WITH {b.REGISTRATIONS} SELECT tag, registration FROM registrations
-    WHERE regexp_full_match(registration, '[A-Z]{{2}}[0-9]{{2}}[A-Z]+[0-9]+')""",
+    WHERE regexp_matches(registration, '{text.REGISTRATION_STRICT}')""",
 )
 def _full_match(t):
-    return b.registrations(t).where(text.full_match("registration", "[A-Z]{2}[0-9]{2}[A-Z]+[0-9]+")).select(
+    return b.registrations(t).where(text.full_match("registration", text.REGISTRATION_STRICT.strip("^$"))).select(
         "tag", "registration"
     )
 
@@ -191,8 +193,6 @@ def _inner(t):
     FROM short_modal s JOIN long_modal l ON s.vehicle_class = l.vehicle_class AND s.plaza = l.plaza""",
 )
 def _inner_two(t):
-    from tagtrail.operators.dominant import modal_amount
-
     keys = ["vehicle_class", "plaza"]
     short = modal_amount(b.amounts(t, b.SHORT_UNTIL), keys).select(*keys, F.col("amount").alias("short_amount"))
     long = modal_amount(b.amounts(t, b.LONG_UNTIL), keys).select(*keys, F.col("amount").alias("long_amount"))
@@ -419,8 +419,6 @@ def _most_frequent_pair(t):
     f"WITH {b.AMOUNTS} SELECT vehicle_class, plaza, amount FROM short_modal",
 )
 def _modal(t):
-    from tagtrail.operators.dominant import modal_amount
-
     return modal_amount(b.amounts(t, b.SHORT_UNTIL), ["vehicle_class", "plaza"]).drop("frequency")
 
 
@@ -590,7 +588,9 @@ def _difference(t):
         p_brand || '00' AS appended, CAST(length(p_name) AS INTEGER) AS n_chars, reverse(p_name) AS reversed,
         printf('%.2f F', p_retailprice) AS shown, TRY_CAST(trim('  ' || p_size || ' ') AS BIGINT) AS number,
         TRY_CAST(regexp_extract(p_brand, '.*#([0-9]+).*', 1) AS INTEGER) AS brand_no,
-        regexp_matches(p_brand, '^[34|91].*$') AS class_match, split_part(p_brand, '#', 2) AS second
+        regexp_matches(split_part(p_brand, '#', 2), '"""
+    + text.TAG_PREFIX
+    + r"""') AS tag_match, split_part(p_brand, '#', 2) AS second
     FROM part""",
 )
 def _text(t):
@@ -607,7 +607,7 @@ def _text(t):
         text.fahrenheit_text("p_retailprice").alias("shown"),
         text.trimmed_number(F.concat(F.lit("  "), F.col("p_size").cast("string"), F.lit(" "))).alias("number"),
         text.captured_int("p_brand", ".*#([0-9]+).*").alias("brand_no"),
-        F.col("p_brand").rlike("^[34|91].*$").alias("class_match"),
+        text.field("p_brand", "#", 1).rlike(text.TAG_PREFIX).alias("tag_match"),
         text.field("p_brand", "#", 1).alias("second"),
     )
 
@@ -664,8 +664,6 @@ def _dates(t):
     FROM ordered WHERE prev_time IS NOT NULL""",
 )
 def _hours(t):
-    from tagtrail.operators.ordered import previous_event
-
     linked = previous_event(b.visits(t), "tag", "time", "time", tie=["plaza", "entry_lane", "exit_lane"])
     return linked.where(F.col("prev_time").isNotNull()).select(
         "tag",
