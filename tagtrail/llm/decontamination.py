@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagtrail.llm.batches import DIGIT, LETTER, flags, lowered, packed, slices
+from tagtrail.llm.batches import DIGIT, LETTER, flags, lowered, packed
 
 RATE = 0.1
 LEAST = 24

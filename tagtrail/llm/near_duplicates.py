@@ -38,7 +38,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tagtrail.llm.batches import grams, mixed, slices, space_words, spans
 from tagtrail.llm.components import connected

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagtrail.llm.batches import grams, plain_words, slices, spans
+from tagtrail.llm.batches import grams, plain_words, slices
 from tagtrail.llm.sampling import labelled_sample
 
 BITS = 20
