@@ -44,6 +44,8 @@ from tagtrail.llm.batches import Rolling, mixed, packed, slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 STRETCH = 1 << 15
+#: Characters of one run: lattices and paths of a run are held at once.
+RUN_CHARS = 1 << 19
 MODEL_BYTES = 64 << 20
 _SPACE = "▁"
 _MARK = ord(_SPACE)
@@ -385,7 +387,7 @@ def segmentations(
         for batch in batches:
             texts = batch.column(3).to_pylist()
             seeds = np.asarray(batch.column(2)).view(np.uint64)
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, RUN_CHARS):
                 drawn = sample(texts[lo:hi], seeds[lo:hi], held.value, k)
                 rows = [(lo + i, rank, *x) for i, ways in enumerate(drawn) for rank, x in enumerate(ways, 1)]
                 at, rank, ids, log_prob, value, inclusion = zip(*rows, strict=True)
