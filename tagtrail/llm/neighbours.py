@@ -215,6 +215,21 @@ def _grouped(rows: DataFrame, name: str, per: int) -> DataFrame:
     return materialize(numbered.withColumn(name, F.col("task").cast("long") * (1 << 32) + F.col("part")).drop("task", "part"), name)
 
 
+def _chunked(queries: DataFrame) -> DataFrame:
+    """Number the queries by stretches of their curve of about CHUNK each, whatever their partitions.
+
+    A stretch whose queries share one place is cut further by a hash of the id.
+    """
+    spread = max(1, -(-queries.count() // CHUNK))
+    cuts = sorted(set(queries.approxQuantile("place", [i / spread for i in range(1, spread)], 0.2 / spread))) if spread > 1 else []
+    stretch = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col("place") >= c)) if cuts else F.lit(0)
+    placed = queries.withColumn("stretch", stretch)
+    held = {r["stretch"]: r["count"] for r in placed.groupBy("stretch").count().collect()}  # a row per stretch
+    parts = F.array(*[F.lit(max(1, -(-held.get(i, 0) // (2 * CHUNK)))) for i in range(len(cuts) + 1)])
+    part = F.pmod(F.xxhash64("id"), F.get(parts, F.col("stretch")).cast("long"))
+    return placed.withColumn("chunk", F.col("stretch").cast("long") * (1 << 32) + part).drop("stretch", "place")
+
+
 def _outline(rows: DataFrame, name: str, size: int) -> DataFrame:
     """Centre on the sphere and largest angle from it of every group: (name, centre, radius)."""
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
@@ -234,10 +249,9 @@ def _visited(rows: DataFrame, ordered: DataFrame, found: DataFrame, size: int, k
     """Neighbours in the blocks that the windows and the bounds leave open."""
     blocks = _grouped(ordered.select("id", "vector"), "block", BLOCK)
     worst = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("worst"))
-    queries = rows.where("query").join(worst, "id", "left")
-    queries = queries.select("id", "vector", F.coalesce("worst", F.lit(-1.0)).alias("worst"))
-    spread = max(1, -(-queries.count() // CHUNK))
-    chunks = _grouped(queries.repartitionByRange(spread, "id"), "chunk", CHUNK)
+    queries = ordered.where("query").select("id", "vector", "place").join(worst, "id", "left")
+    queries = materialize(queries.withColumn("worst", F.coalesce("worst", F.lit(-1.0))), "queries")
+    chunks = _chunked(queries)
     of_block = materialize(_outline(blocks, "block", size), "block-outlines")
     of_chunk = _outline(chunks, "chunk", size).join(chunks.groupBy("chunk").agg(F.min("worst").alias("worst")), "chunk")
     of_chunk = materialize(of_chunk.select("chunk", F.col("centre").alias("chunk_centre"), F.col("radius").alias("chunk_radius"), "worst"), "chunk-outlines")
