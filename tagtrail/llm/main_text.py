@@ -1,9 +1,11 @@
 """Main text of web pages by removing site templates.
 
 Every page is read into element subtrees. A subtree's hash covers its tags and texts.
-Spark counts on how many pages of a host each block subtree stands; a subtree on
+Spark counts on how many pages of a host each block subtree outside article and main elements stands;
+pages of a host with the same text before any template is cut count once, so copies make no template. A subtree on
 at least ``share`` of the host's pages, and on at least ``least_pages``, is template and
-is cut out wherever it stands. A host has at most (block elements a page / share) such
+is cut out wherever it stands, but never inside an article or main element, nor with the longest
+article of a page where that article is taken. A host has at most (block elements a page / share) such
 subtrees, so the list of one host is short; the lists join the pages by host, and Spark
 splits a host with many pages, or sends the lists to the tasks where they are small.
 
@@ -16,7 +18,7 @@ also a line break element, becomes one space. Character references are decoded.
 
 Defined cases: null or empty html gives an empty text. Pages with a null url, or
 one without a host, have no site and lose no template. Unclosed and misnested elements are
-closed as browsers do. Repeated rows count as pages of their own and each gives a
+closed as browsers do. Repeated rows count as one page and each gives a
 row. Other columns are not read. An empty table gives an empty result.
 """
 
@@ -98,12 +100,13 @@ class Page:
     """One pass over a page: its blocks, each with the kind of root it stands in, and its subtree keys."""
 
     def __init__(self, source: str, template: frozenset[int] = frozenset()):
-        self.blocks: list[tuple[str, int]] = []  # text, 2 in an article, 1 in main, 0 else
+        self.blocks: list[tuple[str, int, int]] = []  # text, 2 in an article, 1 in main, 0 else, number of the outermost article
         self.keys: set[int] = set()
+        self._cuts: list[tuple[int, int]] = []  # block ranges of templates
         self._template = template
         self._open = [_Open("", False, 0)]
         self._text: list[str] = []
-        self._gone = self._articles = self._mains = 0
+        self._gone = self._articles = self._mains = self._article = 0
         self._read(source)
 
     def _read(self, source: str) -> None:
@@ -145,7 +148,7 @@ class Page:
             words = "".join(self._text).split()
             self._text = []
             if words:
-                self.blocks.append((" ".join(words), 2 if self._articles else 1 if self._mains else 0))
+                self.blocks.append((" ".join(words), 2 if self._articles else 1 if self._mains else 0, self._article))
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag == "br":
@@ -163,6 +166,7 @@ class Page:
         gone = _is_gone(tag, attributes, self._articles > 0)
         self._open.append(_Open(tag, gone, len(self.blocks)))
         self._gone += gone
+        self._article += tag == "article" and not self._articles
         self._articles += tag == "article"
         self._mains += tag == "main"
 
@@ -199,26 +203,42 @@ class Page:
         digest = blake2b(top.tag.encode() + b"\0" + b"\1".join(top.parts), digest_size=8).digest()
         parent.parts.append(digest)
         parent.seen |= top.seen
-        if top.seen and not self._gone and not top.gone and top.tag in _BLOCK and top.tag not in _FREE:
+        if top.seen and not self._articles and not self._mains and top.tag in _BLOCK and top.tag not in _FREE:
             key = int.from_bytes(digest, "little", signed=True)
             self.keys.add(key)
-            if key in self._template:
-                del self.blocks[top.blocks :]
+            if key in self._template and top.blocks < len(self.blocks):
+                self._cuts.append((top.blocks, len(self.blocks)))
 
     def text(self) -> str:
-        best = max((kind for _, kind in self.blocks), default=0)
-        return "\n".join(text for text, kind in self.blocks if kind == best)
+        best = max((kind for _, kind, _ in self.blocks), default=0)
+        sizes: dict[int, int] = {}
+        for text, kind, article in self.blocks:
+            if kind == 2:
+                sizes[article] = sizes.get(article, 0) + len(text)
+        longest = max(sizes, key=sizes.__getitem__, default=0)
+        cut: set[int] = set()
+        for lo, hi in self._cuts:
+            held = self.blocks[lo:hi]
+            if not any(kind == 1 or (kind == 2 and article == longest) for _, kind, article in held):
+                cut.update(range(lo, hi))
+        return "\n".join(text for i, (text, kind, _) in enumerate(self.blocks) if kind == best and i not in cut)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, key, content) of every subtree, and of every page with a null key."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
-            hosts, keys = [], []
+            hosts, keys, contents = [], [], []
             for host, source in zip(*(batch.column(i).slice(lo, 512).to_pylist() for i in range(2)), strict=True):
-                found = Page(source).keys
+                page = Page(source)
+                digest = blake2b(page.text().encode("utf-8", "surrogatepass"), digest_size=8).digest()
+                found = [None, *page.keys]
                 hosts += [host] * len(found)
                 keys += found
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64())], ["host", "key"])
+                contents += [int.from_bytes(digest, "little", signed=True)] * len(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(contents, pa.int64())], ["host", "key", "content"]
+            )
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,9 +269,11 @@ def site_templates(
     """(host, template): the keys of the recurring subtrees of each host that has any."""
     named = pages.select(host_of(F.col(url_column)).alias("host"), F.col(html_column).alias("html"))
     named = named.where("host IS NOT NULL AND length(html) > 0")
-    counted = named.mapInArrow(_keys, "host string, key long").groupBy("host", "key").count()
-    sizes = named.groupBy("host").agg(F.count("*").alias("pages"))
-    often = counted.where(F.col("count") >= least_pages).join(sizes, "host").where(F.col("count") >= share * F.col("pages"))
+    found = named.mapInArrow(_keys, "host string, key long, content long").distinct()
+    counted = found.groupBy("host", "key").count().where((F.col("count") >= least_pages) | F.col("key").isNull())
+    counted = materialize(counted, "subtrees")
+    sizes = counted.where("key IS NULL").select("host", F.col("count").alias("pages"))
+    often = counted.where("key IS NOT NULL").join(sizes, "host").where(F.col("count") >= share * F.col("pages"))
     return materialize(often.groupBy("host").agg(F.collect_list("key").alias("template")), "templates")
 
 

@@ -160,6 +160,31 @@ def test_site_templates_go_and_articles_stay(spark):
     assert main_text(pages.limit(0)).collect() == []
 
 
+def test_copies_and_shared_lines_are_no_template(spark):
+    layout = "<nav>Start</nav><div><p>Weather today</p></div>{}<div><p>All rights kept</p></div><script>var id = {}</script>"
+    story = "<{0}><h1>Head</h1><p>Lead</p><section><p>Body</p></section></{0}>"
+    rows = [(k, "http://copies.example/", layout.format(story.format("article"), k)) for k in range(12)]
+    rows += [(20 + k, "http://plain.example/", layout.format(story.format("div"), k)) for k in range(12)]
+    for host, tag in enumerate(("article", "main", "div")):  # a third are copies; all share a lead, in div only as part of copies
+        url, base = f"http://{tag}.example/", 100 * (host + 1)
+        rows += [(base + k, url, layout.format(story.format(tag), k)) for k in range(12)]
+        lead = "<p>Lead</p>" if tag != "div" else ""
+        rows += [(base + k, url, layout.format(f"<{tag}><h1>Title {k}</h1>{lead}<p>Own {k}</p></{tag}>", k)) for k in range(12, 36)]
+    cards = "<div><article>Card one</article><article>Card two</article></div>"
+    rows += [(500 + k, "http://cards.example/", layout.format(f"<article><p>Story of page {k}</p></article>{cards}", k)) for k in range(12)]
+    same = "<div><article><p>The same long story on each row</p></article></div>"
+    rows += [(600 + k, "http://turns.example/", layout.format(f"{same}<article>Card {k}</article>", k)) for k in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in main_text(pages).collect()}
+    whole = "Head\nLead\nBody"
+    for k in range(12):
+        assert got[k] == whole and got[20 + k] == f"Weather today\n{whole}\nAll rights kept"  # copies of one page are no site
+        assert got[100 + k] == got[200 + k] == got[300 + k] == whole
+        assert got[500 + k] == f"Story of page {k}" and got[600 + k] == f"The same long story on each row\nCard {k}"
+    for k in range(12, 36):
+        assert got[100 + k] == got[200 + k] == f"Title {k}\nLead\nOwn {k}" and got[300 + k] == f"Title {k}\nOwn {k}"
+
+
 @pytest.mark.parametrize(
     ("source", "want"),
     [
