@@ -11,7 +11,12 @@ splits a host with many pages, or sends the lists to the tasks where they are sm
 
 What a single page shows to be no article goes too: navigation, page headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments, by element, role, class
-or id. If a page has article elements, only what stands in them is taken, else main, else the body.
+or id. A class or id counts as a whole token between spaces, never by a word in a longer one; headings and ids that
+may be anchors go by no name inside article and main, and a name that would empty a page that has an article or main is passed over.
+
+The root is chosen by the text it holds: the article elements, unless main has more text outside of them than the longest
+of them holds, then main; the body if the text outside both is longer than the longest of several articles, or four
+times as long as a lone article or main.
 
 Blocks are joined by one newline in page order; white space inside a block,
 also a line break element, becomes one space. Character references are decoded.
@@ -52,21 +57,29 @@ _GONE_NAMES = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar footer ad ads advert adverts advertisement advertising"
     " adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter"
     " subscribe subscription comment comments disqus respond reply replies social share sharing related recommended masthead"
-    " skip pagination pager login signup search toolbar widget".split()
+    " skip pagination pager login signup search toolbar widget"
+    " main-nav main-menu nav-menu nav-bar site-header site-footer page-footer breadcrumb-nav left-sidebar right-sidebar sidebar-left"
+    " sidebar-right ad-banner ad-slot ad-container cookie-banner cookie-notice cookie-consent share-buttons social-share social-links"
+    " comments-area comment-list related-posts newsletter-signup skip-link".split()
 )
+# Ids that are no anchor of a heading inside an article or main.
+_GONE_IDS = frozenset("comments disqus disqus_thread respond sidebar breadcrumb breadcrumbs pagination pager adsense".split())
+# So many times a lone article or main must the text outside weigh to make the body the root.
+_OUTWEIGHS = 4
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
 }
 _WALLS = frozenset("table td th ul ol dl button object html body article section div aside nav".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_NAME = re.compile(r"[a-z0-9]+")
+_ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _FREE = frozenset(["html", "body", "main", "article"])  # never template as a whole
 
 
-def _is_gone(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in _GONE or (tag == "header" and not in_article):
+def _is_gone(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether an element is no part of the text by its tag or by what is written on it; ``inside`` an article or main."""
+    if tag in _GONE or (tag == "header" and not inside):
         return True
     if not attributes or tag in _FREE:
         return False
@@ -78,9 +91,18 @@ def _is_gone(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "role" and value in _GONE_ROLES:
             return True
+    return False
+
+
+def _is_named_gone(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether a whole class or id token says that an element is no part of the text."""
+    if not attributes or tag in _FREE or (inside and tag in _HEADINGS):
+        return False
+    for m in _ATTRIBUTE.finditer(attributes):
+        name = m[1].lower()
         if name in ("class", "id"):
-            words = _NAME.findall(value)
-            if not _GONE_NAMES.isdisjoint(words) or ("header" in words and not in_article):
+            tokens = (m[2] or m[3] or m[4] or "").lower().split()
+            if not (_GONE_IDS if inside and name == "id" else _GONE_NAMES).isdisjoint(tokens) or ("header" in tokens and not inside):
                 return True
     return False
 
@@ -100,14 +122,22 @@ class Page:
     """One pass over a page: its blocks, each with the kind of root it stands in, and its subtree keys."""
 
     def __init__(self, source: str, template: frozenset[int] = frozenset()):
-        self.blocks: list[tuple[str, int, int]] = []  # text, 2 in an article, 1 in main, 0 else, number of the outermost article
+        self._begin(template, True)
+        self._read(source)
+        if self._hidden and not self.blocks:
+            self._begin(template, False)
+            self._read(source)
+
+    def _begin(self, template: frozenset[int], names: bool) -> None:
+        self.blocks: list[tuple[str, bool, int]] = []  # text, whether in main, number of the outermost article or 0
         self.keys: set[int] = set()
         self._cuts: list[tuple[int, int]] = []  # block ranges of templates
         self._template = template
         self._open = [_Open("", False, 0)]
         self._text: list[str] = []
         self._gone = self._articles = self._mains = self._article = 0
-        self._read(source)
+        self._names = names  # elements outside articles and main may go by name
+        self._hidden = False  # an article or main stands in an element that is gone
 
     def _read(self, source: str) -> None:
         at, n = 0, len(source)
@@ -148,7 +178,7 @@ class Page:
             words = "".join(self._text).split()
             self._text = []
             if words:
-                self.blocks.append((" ".join(words), 2 if self._articles else 1 if self._mains else 0, self._article))
+                self.blocks.append((" ".join(words), self._mains > 0, self._article if self._articles else 0))
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag == "br":
@@ -163,7 +193,9 @@ class Page:
             self._close_to(_CLOSES[tag], frozenset(["table", "ul", "ol", "dl", "select"]))
         if tag in _VOID:
             return
-        gone = _is_gone(tag, attributes, self._articles > 0)
+        inside = self._articles + self._mains > 0
+        gone = _is_gone(tag, attributes, inside) or ((inside or self._names) and _is_named_gone(tag, attributes, inside))
+        self._hidden |= self._gone > 0 and tag in ("article", "main")
         self._open.append(_Open(tag, gone, len(self.blocks)))
         self._gone += gone
         self._article += tag == "article" and not self._articles
@@ -210,18 +242,25 @@ class Page:
                 self._cuts.append((top.blocks, len(self.blocks)))
 
     def text(self) -> str:
-        best = max((kind for _, kind, _ in self.blocks), default=0)
-        sizes: dict[int, int] = {}
-        for text, kind, article in self.blocks:
-            if kind == 2:
-                sizes[article] = sizes.get(article, 0) + len(text)
-        longest = max(sizes, key=sizes.__getitem__, default=0)
+        articles: dict[int, int] = {}
+        for text, _, article in self.blocks:
+            if article:
+                articles[article] = articles.get(article, 0) + len(text)
+        longest = max(articles, key=articles.__getitem__, default=0)
         cut: set[int] = set()
         for lo, hi in self._cuts:
-            held = self.blocks[lo:hi]
-            if not any(kind == 1 or (kind == 2 and article == longest) for _, kind, article in held):
+            if not any(main or (article and article == longest) for _, main, article in self.blocks[lo:hi]):
                 cut.update(range(lo, hi))
-        return "\n".join(text for i, (text, kind, _) in enumerate(self.blocks) if kind == best and i not in cut)
+        kept = [b for i, b in enumerate(self.blocks) if i not in cut]
+        own = sum(len(text) for text, main, article in kept if main and not article)
+        outside = sum(len(text) for text, main, article in kept if not main and not article)
+        root, size, several = [b for b in kept if b[2]], articles.get(longest, 0), len(articles) > 1
+        if own > size:
+            root = [b for b in kept if b[1]]
+            size, several = sum(len(b[0]) for b in root), False
+        if outside > size * (1 if several else _OUTWEIGHS):
+            root = kept
+        return "\n".join(b[0] for b in root)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -202,6 +202,32 @@ def test_blocks(source, want):
     assert Page(source).text() == want
 
 
+STORY = "The story itself has many words, and this is all of it" * 9
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<div class='page has-sidebar with-comments'><article><p>whole</p></article></div>", "whole"),
+        ("<div class=no-sidebar><p>plain</p></div>", "plain"),
+        ("<article><section id=related-work>a</section><h2 id='search-algorithms'>b</h2><p class=share-price>c</article>", "a\nb\nc"),
+        ("<article><h2 class='search'>a</h2><section id=search><p>b</section><div class='x share'>no</div></article>", "a\nb"),
+        ("<main><header><h1 id=menu>a</h1></header><p>b</main>", "a\nb"),
+        ("<div class=overlay><article>a<p class=ad>no</article></div>", "a"),
+        ("<div class=overlay>no</div><div class='site-footer'>no</div><p>a", "a"),
+        ("<p title='hidden gem' data-id=search data-role='menu'>a</p><p hidden>no</p><p aria-hidden=true>no</p>", "a"),
+        (f"<main><p>{STORY}</p></main><div><article>Card one</article><article>Card two</article></div>", STORY),
+        (f"<main><p>{STORY}</p><article>Card one</article></main>", f"{STORY}\nCard one"),
+        (f"<div><p>{STORY}</p></div><article>Card one</article>", f"{STORY}\nCard one"),
+        (f"<main>Title</main><div><p>{STORY}</p></div>", f"Title\n{STORY}"),
+        (f"<main><p>Share</p><article><p>{STORY}</p></article></main><p>Some links</p>", STORY),
+        ("<article>one</article><article>two</article>", "one\ntwo"),
+    ],
+)
+def test_names_are_whole_and_the_root_is_where_the_text_is(source, want):
+    assert Page(source).text() == want
+
+
 def test_archives_come_back(spark):
     big = "<p>" + "ä" * 200
     rows = [(5, "http://a b/\n", big), (3, "http://c", big), (9, None, big), (1, "u", "small"), (2, "u", "small"), (4, "u", None), (6, "u", ""), (7, "u", "WARC/1.0\r\n\r\n" * 30), (8, "u", "\n0 1 2\n" * 40)]
