@@ -12,7 +12,7 @@ With 5 rows and 32 bands a pair at similarity 0.8 shares no band with a chance o
 (1 - 0.8**5)**32 < 4e-6. Candidates are confirmed on the full sets, so no
 false link is kept. No list of pairs of a group is made:
 
-1. Equal sets are one node, the smallest id with that set.
+1. Equal sets are one node, with a number of its own; the text of its smallest id stands for it.
 2. Each node is checked against one leader of its bands, the one it shares most
    with; the links give components. In two more rounds it is checked against a random
    leader of each band that still holds several components.
@@ -24,8 +24,8 @@ from above, so pairs that agree in one passage only are never built.
 
 Defined cases: a null or empty text, or one without words, has an empty set and
 is linked with nothing. Rows with a null id keep their row, with a null
-component. Rows that repeat an id belong to one document: each is judged by its
-own text and kept or dropped by that id. Other columns are not read, so their
+component. Rows that repeat an id are each judged by their
+own text: its links only, and kept if their id is the smallest of its component. Other columns are not read, so their
 names cannot clash. An empty table gives an empty result.
 """
 
@@ -47,7 +47,7 @@ BANDS = 32
 ROWS = 5
 #: Rounds in which each node is compared with one leader of each of its bands.
 TURNS = 2
-#: Ids sent to every task at most, about 32 MB there.
+#: Rows of two or three numbers sent to every task at most, some ten bytes a number there.
 SENT_IDS = 1_000_000
 #: 64-bit words of the bitmap of a set.
 WORDS = 16
@@ -119,7 +119,7 @@ def band_keys(rows: np.ndarray, bands: int) -> np.ndarray:
 def _sketched(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, texts, marks = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
             for lo, hi in slices(texts):
                 sets = [s for _, s in shingle_sets(texts[lo:hi], width)]
                 keys = band_keys(sketches(sets, bands * rows), bands)
@@ -129,6 +129,7 @@ def _sketched(width: int, bands: int, rows: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(lo, hi - lo),
+                        marks.slice(lo, hi - lo),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(offsets, pa.array(keys[full].ravel(), pa.int64())),
@@ -136,7 +137,7 @@ def _sketched(width: int, bands: int, rows: int):
                             np.arange(len(sets) + 1, dtype=np.int32) * WORDS, pa.array(bitmaps(sets).ravel(), pa.int64())
                         ),
                     ],
-                    ["id", "n", "digest", "bands", "bits"],
+                    ["id", "mark", "n", "digest", "bands", "bits"],
                 )
 
     return run
@@ -174,10 +175,10 @@ def _sided(rows: DataFrame, side: str) -> DataFrame:
     return rows.select([F.col(c).alias(c if c == "band" else side if c == "node" else f"{c}_{side}") for c in rows.columns])
 
 
-def _rows_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows with one of ``ids``. Up to SENT_IDS ids go to the tasks, so that texts stay where they are; more are joined."""
-    ids = materialize(ids, "ids")
-    return rows.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "id", "left_semi")
+def _sent(rows: DataFrame, others: DataFrame, on: str | list[str], how: str) -> DataFrame:
+    """A join. Up to SENT_IDS of ``others`` go to the tasks, so that ``rows`` stay where they are; more are joined."""
+    others = materialize(others, "others")
+    return rows.join(F.broadcast(others) if others.count() <= SENT_IDS else others, on, how)
 
 
 def _confirmed(pairs: DataFrame, outlines: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -185,7 +186,7 @@ def _confirmed(pairs: DataFrame, outlines: DataFrame, texts: DataFrame, width: i
     able = pairs.join(_sided(outlines, "a"), "a").join(_sided(outlines, "b"), "b").where(_possible(percent))
     able = materialize(able.select("a", "b"), "able")
     named = able.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = _rows_of(texts, named).mapInArrow(_full_sets(width), "id long, items array<long>")
+    sets = _sent(texts, named, "id", "left_semi").mapInArrow(_full_sets(width), "id long, items array<long>")
     sets = materialize(sets, "full-sets")
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("of_a"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("of_b"))
@@ -228,23 +229,25 @@ def near_duplicates(
     rows: int = ROWS,
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept."""
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    found = materialize(
-        texts.mapInArrow(_sketched(width, bands, rows), "id long, n long, digest binary, bands array<long>, bits array<long>"),
-        "sketches",
-    )
+    # the mark tells apart the texts of one id
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).withColumn("mark", F.xxhash64("text"))
+    schema = "id long, mark long, n long, digest binary, bands array<long>, bits array<long>"
+    found = materialize(texts.mapInArrow(_sketched(width, bands, rows), schema), "sketches")
     filled = found.where("id IS NOT NULL AND n > 0")
-    nodes = materialize(filled.groupBy("digest", "n").agg(F.min("id").alias("node")), "sets")
-    # bands of one row per node: the row of the smallest id
-    first = filled.join(nodes.select(F.col("node").alias("id"), "digest"), ["id", "digest"], "left_semi")
-    banded = first.select(F.col("id").alias("node"), F.explode("bands").alias("band")).distinct()
+    nodes = filled.groupBy("digest", "n").agg(F.min(F.struct("id", "mark")).alias("of"))
+    nodes = materialize(nodes.select("digest", "n", "of.id", "of.mark", F.monotonically_increasing_id().alias("node")), "sets")
+    # bands of one text per node: that of the smallest id
+    first = filled.join(nodes.select("id", "mark", "node"), ["id", "mark"])
+    banded = first.select("node", F.explode("bands").alias("band")).distinct()
     buckets = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     shared = materialize(banded.join(buckets, "band"), "bands")
-    outlines = first.select(F.col("id").alias("node"), "n", "bits").dropDuplicates(["node"])
+    outlines = first.select("node", "n", "bits").dropDuplicates(["node"])
     words = [F.col("bits")[k].alias(f"bits{k}") for k in range(WORDS)]
     outlines = outlines.select("node", "n", *words, F.aggregate("bits", F.lit(0), lambda s, w: s + F.bit_count(w)).alias("set"))
     outlines = materialize(outlines, "outlines")
-    node_texts = materialize(_rows_of(texts, shared.select(F.col("node").alias("id")).distinct()), "node-texts")
+    standing = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "id", "mark")
+    node_texts = _sent(texts, standing, ["id", "mark"], "inner").select(F.col("node").alias("id"), "text")
+    node_texts = materialize(node_texts, "node-texts")
 
     def led(leader: str, rows_: DataFrame) -> DataFrame:
         """The leader that a node shares most bands with; ties to the smaller one."""
@@ -269,9 +272,9 @@ def near_duplicates(
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = connected(links)
-    node_of = nodes.join(labels, F.col("node") == F.col("member"), "left").select(
-        "digest", "n", F.coalesce("component", "node").alias("component")
-    )
+    named = materialize(nodes.join(labels, F.col("node") == F.col("member"), "left").select("digest", "n", "id", "component"), "named")
+    lowest = named.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("low"))
+    node_of = _sent(named, lowest, "component", "left").select("digest", "n", F.coalesce("low", "id").alias("component"))
     out = found.select("id", "n", "digest").join(node_of, ["digest", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(

@@ -84,6 +84,20 @@ def test_near_duplicates_keep_null_ids_and_repeats(spark):
     assert got == sorted([(None, None, True)] * 2 + [(5, 5, True)] * 2 + [(9, 5, False)], key=str)
 
 
+def test_near_duplicates_of_an_id_with_several_texts(spark):
+    rng = random.Random(9)
+    texts = [words(rng, n) for n in (30, 90, 200, 400)]
+    near = [t + " end" for t in texts]
+    rows = [(1, t) for t in texts] + [(k + 2, t) for k, t in enumerate(near)]
+    short, other = words(rng, 60), words(rng, 150)
+    rows += [(50, short)] * 2 + [(50, other), (49, short + " end"), (70, other + " end"), (71, other)]
+    for part in (1, 5):
+        got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(frame(spark, rows).repartition(part)).collect())
+        want = [(1, len(shingles(t, 5)), 1, True) for t in texts] + [(k + 2, len(shingles(t, 5)), 1, False) for k, t in enumerate(near)]
+        want += [(50, 56, 49, False)] * 2 + [(50, 146, 50, True), (49, 57, 49, True), (70, 147, 50, False), (71, 146, 50, False)]
+        assert got == sorted(want)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(frame(spark, [])).collect() == []
 
