@@ -47,7 +47,7 @@ BANDS = 32
 ROWS = 5
 #: Rounds in which each node is compared with one leader of each of its bands.
 TURNS = 2
-#: Rows of two or three numbers sent to every task at most, some ten bytes a number there.
+#: Rows of one to three numbers sent to every task at most; the memory they take there is not measured.
 SENT_IDS = 1_000_000
 #: 64-bit words of the bitmap of a set.
 WORDS = 16
