@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagtrail.llm.batches import LETTER, STEP, Rolling, flags, lowered, mixed, packed, slices
+from tagtrail.llm.sampling import bounded_sample
 
 BUCKETS = 1 << 12
 WIDTHS = (1, 2, 3, 4)
@@ -131,13 +132,11 @@ def fit_language(
     rate: float = 20.0,
     reject: float = 0.01,
 ) -> LanguageModel:
-    """Fit on about ``sample`` rows with a language for which ``usable``, a condition on the id, holds."""
+    """Fit on ``sample`` rows at most with a language for which ``usable``, a condition on the id, holds, in the order of a hash."""
     named = docs.where(usable & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
     named = named.select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang"), F.col(text_column).alias("text"))
-    total = named.select("lang").count()
-    place = F.xxhash64("id", F.lit(29)).bitwiseAND((1 << 53) - 1)
-    chosen = named.where(place < int(min(1.0, sample / max(1, total)) * (1 << 53)))
-    rows = chosen.select("lang", "text").mapInArrow(_counted, "lang string, at array<int>, share array<float>").toArrow()
+    chosen = bounded_sample(named, ["id", "text", "lang"], F.lit(0), sample, 0).select("lang", "text", "place")
+    rows = chosen.mapInArrow(_counted, "lang string, place long, at array<int>, share array<float>").toArrow().sort_by("place")
     if not rows.num_rows:
         return LanguageModel([], np.zeros((BUCKETS, 1)), np.zeros((1, 0)), np.zeros(0))
     shares = np.zeros((rows.num_rows, BUCKETS), np.float32)

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from tagtrail.llm.archives import pages_through_archives
 from tagtrail.llm.decontamination import benchmark_matches
+from tagtrail.llm.hard_negatives import hard_negatives
 from tagtrail.llm.language import fit_language, predict_language
 from tagtrail.llm.main_text import main_text
 from tagtrail.llm.neighbours import nearest_neighbours
 from tagtrail.llm.near_duplicates import near_duplicates
+from tagtrail.llm.periodic_runs import periodic_runs, strongest
 from tagtrail.llm.quality import fit_quality, measured, quality
+from tagtrail.llm.quality_rules import fit_rules, quality_rules
 from tagtrail.llm.sampling import remainder
 from tagtrail.llm.segmentation import decoded, load_vocabulary, segmentations
 from tagtrail.llm.toxicity import fit_toxicity, toxicity
@@ -185,3 +188,58 @@ def token_digests(docs: DataFrame) -> DataFrame:
 @_query("op9_segmentations")
 def op9_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"))
+
+
+@_query("op11_quality_rules")
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_rules(docs, _table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
+    return quality_rules(docs, model)
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): the words of a tenth of the documents go on in a period from some word, as the contract says."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.col("words")
+    n = F.size(words)
+    a = (g % F.greatest(n, F.lit(1))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    tail = F.transform(F.sequence(a, n - 1), lambda i: F.get(words, a + (i - a) % p))
+    planted = F.array_join(F.concat(F.slice(words, 1, a), tail), " ")
+    cut = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("words")
+    return docs.select("doc_id", "text", cut).select("doc_id", F.when(n > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@_query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_planted_runs(_table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    best = found.withColumn("best", strongest(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@_query(
+    "op13_hard_negatives",
+    """
+    WITH v AS (SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+      FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.k, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(coalesce(list_sum(
+        list_transform(list_zip(a.e, b.e), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))), 0) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.k <> b.k WHERE a.vec_id % 100 = 0),
+    p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id) AS slot FROM s WHERE same) WHERE slot <= 5),
+    n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+        CAST(row_number() OVER (PARTITION BY p.k, p.slot ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+      FROM p JOIN s ON s.k = p.k AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
+)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)

@@ -1,11 +1,11 @@
-"""A bounded sample of labelled rows for fitting a classifier."""
+"""Bounded samples of rows for fitting a classifier."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SPACE = 1 << 53
+_BINS = 4096
 
 
 def remainder(id_column: str, divisor: int) -> Column:
@@ -13,6 +13,46 @@ def remainder(id_column: str, divisor: int) -> Column:
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % divisor
 
 
+def bounded_sample(rows: DataFrame, key: list[str], weight: Column, most_rows: int, most_weight: int) -> DataFrame:
+    """``rows`` with a column ``place``, cut to ``most_rows`` rows and a total ``weight`` of ``most_weight``; all if that holds them.
+
+    A row's place is a hash of its ``key`` columns, and rows with one place count once, so neither a repeated id
+    nor a repeated row makes the sample larger. Places fall into some thousand bins, whose rows and weights Spark
+    adds up; the longest series of bins within both bounds is taken, or the first place of all, if its bin
+    goes beyond them. Sort by ``place`` for an order that does not depend on partitions.
+    """
+    placed = rows.withColumn("place", F.xxhash64(*key, F.lit(17)))
+    single = placed.groupBy("place").agg(F.coalesce(F.max(weight), F.lit(0)).alias("w"))
+    place_bin = F.floor(F.shiftrightunsigned("place", 1) / F.lit((1 << 63) // _BINS)).alias("bin")
+    held = single.groupBy(place_bin).agg(F.count("*").alias("n"), F.sum("w").alias("w")).orderBy("bin").collect()
+    n = w = 0
+    last = None
+    for r in held:
+        n, w = n + r.n, w + r.w
+        if n > most_rows or w > most_weight:
+            break
+        last = r.bin
+    if last is None and held:
+        one = single.where(place_bin == held[0].bin).agg(F.min(F.struct("w", "place")).alias("one")).head()[0].place
+        chosen = placed.where(F.col("place") == one)
+    else:
+        chosen = placed.where(place_bin <= F.lit(-1 if last is None else last))
+    return chosen.dropDuplicates(["place"])
+
+
+def labelled_rows(
+    docs: DataFrame, labels: DataFrame, usable: Column, id_column: str, text_column: str, label_column: str
+) -> DataFrame:
+    """(id, label, text) of the rows whose id has a label 0 or 1; ``usable`` is a condition on the columns of ``labels``.
+
+    An id with several labels takes the largest.
+    """
+    named = labels.where(usable).select(F.col(id_column).alias("id"), F.col(label_column).cast("double").alias("label"))
+    named = named.where(F.col("id").isNotNull() & F.col("label").isin(0.0, 1.0))
+    named = named.groupBy("id").agg(F.max("label").alias("label"))
+    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(named, "id")
+
+
 def labelled_sample(
     docs: DataFrame,
     labels: DataFrame,
@@ -21,20 +61,13 @@ def labelled_sample(
     text_column: str,
     label_column: str,
     sample: int,
+    chars: int,
+    most_features: int = 1 << 20,
 ) -> DataFrame:
-    """(label, text) of about ``sample`` labelled rows, all of them if there are no more.
+    """(label, text, place) of ``sample`` labelled rows at most, whose features number ``chars`` together at most.
 
-    A row is in the sample if a hash of its id lies below a threshold computed from the
-    number of labelled rows, so nothing is sorted and no task gathers rows. The sampled ids are
-    few enough to be sent to every task. ``usable`` is a condition on the columns of
-    ``labels``. An id with several labels takes the largest.
+    A text counts with its characters, at most ``most_features``, beyond which it has no more distinct ones.
     """
-    named = labels.where(usable).select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("double").alias("label"))
-    named = named.where(F.col("id").isNotNull() & F.col("label").isin(0.0, 1.0))
-    named = named.groupBy("id").agg(F.max("label").alias("label"))
-    share = min(1.0, sample / max(1, named.count()))
-    place = F.xxhash64("id", F.lit(17)).bitwiseAND(_SPACE - 1)
-    chosen = named.where(place < int(share * _SPACE))
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    return texts.join(F.broadcast(chosen), "id").select("label", "text")
-
+    rows = labelled_rows(docs, labels, usable, id_column, text_column, label_column)
+    weight = F.least(F.coalesce(F.length("text"), F.lit(0)), F.lit(most_features)).cast("long")
+    return bounded_sample(rows, ["id", "text"], weight, sample, chars).select("label", "text", "place")

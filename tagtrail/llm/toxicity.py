@@ -6,8 +6,8 @@ learning rate, and the L1 term keeps all but a few weights at exactly zero: the
 model is a sorted list of buckets and weights, at most ``2**bits`` of them and in practice
 some thousands, so it may be sent to every task.
 
-The model is fitted on at most ``sample`` labelled rows, chosen by a hash of
-their id; their buckets, not their texts, come to the driver. Scoring reads whole
+The model is fitted on at most ``sample`` labelled rows with ``sample_chars`` characters, chosen and ordered by a hash of
+id and text, so it depends on neither partitions nor repeats; their buckets, not their texts, come to the driver. Scoring reads whole
 texts in bounded steps.
 
 Defined cases: a null or empty text, or one without words, has no features and
@@ -33,7 +33,9 @@ from tagtrail.llm.sampling import labelled_sample
 BITS = 20
 #: Offsets of the words that make one feature.
 SHAPES = ((0,), (0, 1), (0, 2), (0, 1, 2))
+#: Bounds of the sample: rows, and characters, of which each brings two features at most.
 SAMPLE = 12_000
+SAMPLE_CHARS = 48_000_000
 
 
 @dataclass(frozen=True)
@@ -69,8 +71,8 @@ def _features(bits: int):
                 key = np.unique((owner << bits) | bucket)
                 ends = np.append(0, np.cumsum(np.bincount(key >> bits, minlength=hi - lo))).astype(np.int32)
                 held = pa.ListArray.from_arrays(ends, pa.array((key & ((1 << bits) - 1)).astype(np.int32)))
-                label = batch.column(0).slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([label, held], ["label", "buckets"])
+                label, place = (batch.column(c).slice(lo, hi - lo) for c in (0, 2))
+                yield pa.RecordBatch.from_arrays([label, place, held], ["label", "place", "buckets"])
 
     return run
 
@@ -116,11 +118,13 @@ def fit_toxicity(
     text_column: str = "text",
     label_column: str = "toxic",
     sample: int = SAMPLE,
+    sample_chars: int = SAMPLE_CHARS,
     bits: int = BITS,
 ) -> Weights:
-    """Weights from at most ``sample`` labelled rows for which ``usable``, a condition on the label table, holds."""
-    chosen = labelled_sample(docs, labels, usable, id_column, text_column, label_column, sample)
-    rows = chosen.mapInArrow(_features(bits), "label double, buckets array<int>").toArrow()
+    """Weights from labelled rows for which ``usable``, a condition on the label table, holds: ``sample`` rows
+    and ``sample_chars`` characters at most, learned from in the order of a hash."""
+    chosen = labelled_sample(docs, labels, usable, id_column, text_column, label_column, sample, sample_chars, 1 << bits)
+    rows = chosen.mapInArrow(_features(bits), "label double, place long, buckets array<int>").toArrow().sort_by("place")
     found = [np.asarray(x.values) for x in rows.column("buckets").combine_chunks()] if rows.num_rows else []
     return ftrl(found, rows.column("label").to_numpy() if rows.num_rows else np.zeros(0), bits)
 
