@@ -117,7 +117,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = pa.ListArray.from_arrays(ends, pa.array(np.nonzero(live)[1].astype(np.int32)))
             share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1.0)
             values = pa.ListArray.from_arrays(ends, pa.array(share[live].astype(np.float32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), at, values], ["lang", "at", "share"])
+            lang, place = (batch.column(c).slice(lo, hi - lo) for c in (0, 2))
+            yield pa.RecordBatch.from_arrays([lang, place, at, values], ["lang", "place", "at", "share"])
 
 
 def fit_language(
