@@ -7,16 +7,21 @@ lineage, survives lost executors and tells the next join its true size.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagtrail.functions.collections import appended
-from tagtrail.operators.keyed import lookup
-from tagtrail.session import materialize
+from tagtrail.operators.keyed import count_by, lookup
+from tagtrail.operators.layout import reused
+from tagtrail.session import BucketedTable, materialize
 
 NOBODY = "Nobody"
+PART_EDGES = 1_000_000
+#: Rounds after which the files of the visited vertices are merged.
+MERGE_ROUNDS = 32
 
 
 def _edge_ends(edges: DataFrame) -> DataFrame:
@@ -41,23 +46,68 @@ def top_degrees(edges: DataFrame, names: DataFrame, k: int = 10) -> DataFrame:
     return degrees(edges).join(named, "id").orderBy(F.desc("degree"), F.asc("id")).limit(k)
 
 
-def _rounds(edges: DataFrame, start: DataFrame, max_rounds: int | None):
-    """Breadth-first rounds: yields (round, edges leaving the frontier, newly reached vertices).
+class Search:
+    """Breadth-first search over edges that lie in buckets by their start.
 
-    A vertex is reached once, so the rounds end by themselves.
+    The edges are written once, dealt out by a hash of ``src``; the visited vertices are one table in as many buckets, to
+    which each round adds what it has reached. So a round moves its frontier and the ends of the frontier's edges and neither the
+    edges nor the visited vertices, and its plan has one size in all rounds. The edges of a vertex with more than ``most`` of them
+    are cut into parts that lie in different buckets; such vertices are fewer than edges / ``most``, so they may be
+    sent to every task. The frontier is kept in memory while its round runs; it is written too, so a lost executor only has it
+    read again. A vertex is reached once, so the rounds end by themselves.
     """
-    plain = materialize(edges.select("src", "dst"), "edges")
-    frontier = materialize(start.select("id", F.lit(0).alias("hops")), "bfs")
-    reached = [frontier]
-    for hop in count(1) if max_rounds is None else range(1, max_rounds + 1):
-        leaving = frontier.select(F.col("id").alias("src")).join(plain, "src").select("dst")
-        known = reduce(DataFrame.unionByName, reached).select("id")
-        fresh = leaving.select(F.col("dst").alias("id")).distinct().join(known, "id", "left_anti")
-        frontier = materialize(fresh.select("id", F.lit(hop).alias("hops")), "bfs")
-        yield hop, leaving, frontier, reached
-        if frontier.isEmpty():
-            return
-        reached.append(frontier)
+
+    def __init__(self, edges: DataFrame, start: DataFrame, buckets: int | None = None, most: int = PART_EDGES):
+        spark = edges.sparkSession
+        buckets = buckets or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        kind = edges.schema["src"].dataType
+        edges = edges.select("src", F.col("dst").cast(kind).alias("dst"))
+        crowded = count_by(edges, "src").where(F.col("n") > most)
+        self.crowded = materialize(crowded.select("src", F.ceil(F.col("n") / most).cast("int").alias("parts")), "crowded")
+        self.any_crowded = not self.crowded.isEmpty()
+        self.key = ["src", "part"] if self.any_crowded else ["src"]
+        self.edges = BucketedTable(spark, "edges", self.key, buckets)
+        self.visited = BucketedTable(spark, "visited", ["id"], buckets)
+        self.edges.add(self._parted(edges, F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int")))
+        self.frontier = materialize(start.select(F.col("id").cast(kind).alias("id"), F.lit(0).alias("hops")).distinct(), "bfs")
+        self.visited.add(self.frontier)
+
+    def _parted(self, rows: DataFrame, part: Column) -> DataFrame:
+        """``rows`` with the ``part`` of their ``src``, 0 where it has only one; without that column if no vertex is crowded."""
+        if not self.any_crowded:
+            return rows
+        parts = F.coalesce(F.col("parts"), F.lit(1))
+        return rows.join(F.broadcast(self.crowded), "src", "left").withColumn("parts", parts).withColumn("part", part).drop("parts")
+
+    def leaving(self, frontier: DataFrame) -> DataFrame:
+        """The ends of the edges that start at the frontier."""
+        parts = self._parted(frontier.select(F.col("id").alias("src")), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return parts.join(self.edges.read(), self.key).select("dst")
+
+    def fresh(self, frontier: DataFrame, hop: int) -> DataFrame:
+        """The vertices that the frontier reaches first, with the number of the round."""
+        ends = self.leaving(frontier).select(F.col("dst").alias("id")).distinct()
+        return ends.join(self.visited.read().select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hops"))
+
+    def rounds(self, most: int | None = None) -> Iterator[tuple[int, DataFrame, DataFrame]]:
+        """(round, the frontier it started from, what it reached) until nothing new is reached."""
+        for hop in count(1) if most is None else range(1, most + 1):
+            before = self.frontier
+            with reused(before) as held:
+                self.frontier = materialize(self.fresh(held, hop), "bfs")
+            yield hop, before, self.frontier
+            if self.frontier.isEmpty():
+                return
+            self.visited.add(self.frontier)
+            if hop % MERGE_ROUNDS == 0:  # else the number of files grows with every round
+                merged = BucketedTable(before.sparkSession, "visited", ["id"], self.visited.buckets)
+                merged.add(self.visited.read())
+                self.visited.close()
+                self.visited = merged
+
+    def close(self) -> None:
+        self.edges.close()
+        self.visited.close()
 
 
 def hop_distance(
@@ -67,15 +117,15 @@ def hop_distance(
 
     ``max_rounds`` ends the search early on request. A round only touches the frontier's edges, and each vertex is written once.
     """
-    reached: list[DataFrame] = []
-    for _, _, frontier, known in _rounds(edges, start, max_rounds):
-        reached = [*known, frontier]
-    hops = reduce(DataFrame.unionByName, reached) if reached else start.select("id", F.lit(0).alias("hops"))
+    search = Search(edges, start)
+    try:
+        for _ in search.rounds(max_rounds):
+            pass
+    finally:
+        search.close()
     vertices = graph_vertices(edges, names, default) if names is not None else _edge_ends(edges).distinct()
     infinite = F.lit(float("inf"))
-    return vertices.join(hops.distinct(), "id", "left").withColumn(
-        "hops", F.coalesce(F.col("hops").cast("double"), infinite)
-    )
+    return vertices.join(search.visited.plain(), "id", "left").withColumn("hops", F.coalesce(F.col("hops").cast("double"), infinite))
 
 
 def degrees_of_separation(edges: DataFrame, start: DataFrame, target: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -84,11 +134,14 @@ def degrees_of_separation(edges: DataFrame, start: DataFrame, target: DataFrame,
     One row (hops, hits), or none if the target is not met. The hits come from
     counting edges and not from a counter that a retried task would raise twice.
     """
-    for hop, leaving, frontier, _ in _rounds(edges, start, max_rounds):
-        if not frontier.join(target.select("id"), "id", "left_semi").isEmpty():
-            goal = target.select(F.col("id").alias("dst"))
-            hits = leaving.join(goal, "dst", "left_semi")
-            return hits.agg(F.count(F.lit(1)).alias("hits")).select(F.lit(hop).alias("hops"), "hits")
+    search = Search(edges, start)
+    try:
+        for hop, before, reached in search.rounds(max_rounds):
+            if not reached.join(target.select("id"), "id", "left_semi").isEmpty():
+                hits = search.leaving(before).join(target.select(F.col("id").alias("dst")), "dst", "left_semi")
+                return materialize(hits.agg(F.count(F.lit(1)).alias("hits")).select(F.lit(hop).alias("hops"), "hits"), "hits")
+    finally:
+        search.close()
     return edges.limit(0).select(F.lit(0).alias("hops"), F.lit(0).cast("long").alias("hits"))
 
 

@@ -96,6 +96,66 @@ def test_hops_match_a_plain_search(spark):
             assert out[d] <= out[s] + 1
 
 
+@pytest.mark.parametrize("most", [1_000_000, 5])
+def test_search_equals_a_plain_one_with_crowded_vertices(spark, most):
+    pick = random.Random(4)
+    edges = [(0 if pick.random() < 0.3 else pick.randrange(80), pick.randrange(80)) for _ in range(260)] + [(None, 3), (4, None)]
+    df = spark.createDataFrame(edges, "src long, dst int").repartition(3)
+    search = graph.Search(df, spark.createDataFrame([(0,), (0,)], "id int"), most=most)
+    assert search.any_crowded == (most == 5)
+    got = {0: 0}
+    for hop, _, reached in search.rounds():
+        got |= {r.id: hop for r in reached.collect()}
+    search.close()
+    want, frontier, hop = {0: 0}, {0}, 0
+    while frontier:
+        hop += 1
+        frontier = {d for s, d in edges if s in frontier and d is not None} - set(want)
+        want |= dict.fromkeys(frontier, hop)
+    assert {k: v for k, v in got.items() if k is not None} == want
+    if most == 5:  # the parts of a vertex lie in several buckets
+        files = search.edges.plain().where("src = 0").select(F.col("part"), F.input_file_name().alias("f")).distinct()
+        assert files.select("f").distinct().count() > 1 and files.select("part").distinct().count() > 2
+
+
+def test_rounds_leave_edges_and_visited_vertices_where_they_are(spark):
+    chain = spark.range(40).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        search = graph.Search(chain, spark.createDataFrame([(0,)], "id long"))
+        sizes = set()
+        for hop, _, reached in search.rounds():
+            if not reached.isEmpty():
+                fresh = search.fresh(reached, hop + 1)
+                plan = fresh._jdf.queryExecution().executedPlan().toString()
+                sizes.add(plan.count("\n"))
+        assert hop == 41 and len(sizes) == 1
+        # the only exchanges stand above the frontier and above its ends, not above a bucketed scan
+        lines = plan.split("\n")
+        for i, line in enumerate(lines):
+            if "Bucketed: true" in line:
+                depth = lambda x: len(x) - len(x.lstrip(" :+-*"))
+                above, level = [], depth(line)
+                for other in reversed(lines[:i]):
+                    if depth(other) < level:
+                        level = depth(other)
+                        above.append(other)
+                        if "Join" in other:
+                            break
+                assert not any("Exchange" in x for x in above), plan
+        assert plan.count("Bucketed: true") == 2
+        with graph.reused(reached) as held:
+            assert "InMemoryTableScan" in search.fresh(held, 1)._jdf.queryExecution().executedPlan().toString()
+        search.close()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(("edges", "visited"))]
+
+
 def test_vertices_and_degrees(spark, rows):
     edges = spark.createDataFrame([(1, 2), (2, 3), (2, 3)], "src int, dst int")
     names = spark.createDataFrame([(1, "one"), (2, "two"), (9, "nine")], "id int, name string")
