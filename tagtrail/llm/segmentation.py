@@ -46,6 +46,9 @@ SAMPLES = 2
 STRETCH = 1 << 15
 #: Characters of one run: lattices and paths of a run are held at once.
 RUN_CHARS = 1 << 19
+#: Edges of the lattices that a task keeps for later runs.
+KEPT_EDGES = 6 << 20
+DECODE_IDS = 1 << 19
 MODEL_BYTES = 64 << 20
 _SPACE = "▁"
 _MARK = ord(_SPACE)
@@ -131,7 +134,7 @@ class Lattice:
     """The lattices of the distinct words of a run.
 
     Node ``e`` of a word is the word's start plus the characters before it. The edges of a
-    node, one per size up to the longest piece or the end of the word, follow each other in flat arrays.
+    node, in order of their size, follow each other in flat arrays; only edges with a weight are held.
     """
 
     def __init__(self, codes: np.ndarray, starts: np.ndarray, vocabulary: Vocabulary):
@@ -144,67 +147,110 @@ class Lattice:
         self.code_at = np.zeros(total, np.uint32)
         self.code_at[place] = codes
         left = np.repeat(starts[1:], sizes) - np.arange(len(codes))
-        reach = np.minimum(left, vocabulary.longest)
-        self.first = np.zeros(total + 1, np.int64)
-        self.first[place + 1] = reach
-        np.cumsum(self.first, out=self.first)
-        edges = int(self.first[-1])
-        self.ids = np.full(edges, -1, np.int32)
-        self.log_p = np.full(edges, -np.inf)
-        self.ladder = np.zeros(edges, np.float32)
-        self.ways = np.zeros(total, np.int32)  # edges of each node that have a weight
         rolling = Rolling(codes)
-        at = np.arange(len(codes))
+        at, found = np.arange(len(codes)), []
+        count = np.zeros(total + 1, np.int64)
         for size in range(1, vocabulary.longest + 1):
             at = at[left[at] >= size]
             if not len(at):
                 break
-            found, weight = vocabulary.lookup(mixed(rolling.of(at, at + size)))
-            edge = self.first[place[at]] + size - 1
-            self.ids[edge], self.log_p[edge] = found, weight
-        one = self.first[place]
-        bare = self.ids[one] < 0
-        size_in_bytes = np.select([codes[bare] < 0x80, codes[bare] < 0x800, codes[bare] < 0x10000], [1, 2, 3], 4)
-        self.log_p[one[bare]] = vocabulary.byte_weight * size_in_bytes
+            piece, weight = vocabulary.lookup(mixed(rolling.of(at, at + size)))
+            if size == 1:  # what is no piece is spelled out
+                bare = piece < 0
+                in_bytes = np.select([codes[bare] < 0x80, codes[bare] < 0x800, codes[bare] < 0x10000], [1, 2, 3], 4)
+                weight[bare] = vocabulary.byte_weight * in_bytes
+                live = np.isfinite(weight)
+            else:
+                live = piece >= 0
+            node = place[at[live]]
+            found.append((size, node, piece[live], weight[live]))
+            count[node + 1] += 1
+        self.first = np.cumsum(count)
+        edges = int(self.first[-1])
+        self.size, self.ids = np.empty(edges, np.int16), np.empty(edges, np.int32)
+        self.log_p, self.ladder = np.empty(edges), np.empty(edges, np.float32)
+        free = self.first[:-1].copy()
+        for size, node, piece, weight in found:
+            edge = free[node]
+            self.size[edge], self.ids[edge], self.log_p[edge] = size, piece, weight
+            free[node] += 1
         beta = np.zeros(total)
         order = np.argsort(left, kind="stable")
         bounds = np.searchsorted(left[order], np.arange(1, left.max(initial=0) + 2))
-        for r in range(len(bounds) - 1):
-            node = place[order[bounds[r] : bounds[r + 1]]]
-            if not len(node):
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if lo == hi:
                 continue
-            step = np.arange(min(r + 1, vocabulary.longest))
-            edge = self.first[node][:, None] + step
-            terms = self.log_p[edge] + beta[node[:, None] + 1 + step]
-            top = terms.max(axis=1)
-            self.ways[node] = np.isfinite(terms).sum(axis=1)
-            ways = np.exp(terms - top[:, None])
-            sums = ways.sum(axis=1)
+            node = place[order[lo:hi]]
+            ways = self.first[node + 1] - self.first[node]
+            begin = np.cumsum(ways) - ways
+            edge = np.arange(begin[-1] + ways[-1]) + np.repeat(self.first[node] - begin, ways)
+            terms = self.log_p[edge] + beta[np.repeat(node, ways) + self.size[edge]]
+            top = np.maximum.reduceat(terms, begin)
+            shares = np.exp(terms - np.repeat(top, ways))
+            sums = np.add.reduceat(shares, begin)
             beta[node] = top + np.log(sums)
-            self.log_p[edge] = terms - beta[node, None]
-            self.ladder[edge] = np.cumsum(ways, axis=1) / sums[:, None]
-
-    def log_prob(self, node: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return self.log_p[self.first[node] + size - 1]
+            self.log_p[edge] = terms - np.repeat(beta[node], ways)
+            upto = np.cumsum(shares)
+            self.ladder[edge] = (upto - np.repeat(upto[begin] - shares[begin], ways)) / np.repeat(sums, ways)
+
+    def extend(self, other: Lattice) -> None:
+        """Add the words of ``other`` behind the own ones."""
+        nodes, edges = len(self.code_at), len(self.ids)
+        self.start = np.concatenate([self.start, other.start + nodes])
+        self.end = np.concatenate([self.end, other.end + nodes])
+        self.first = np.concatenate([self.first, other.first[1:] + edges])
+        for name in ("code_at", "size", "ids", "log_p", "ladder"):
+            setattr(self, name, np.concatenate([getattr(self, name), getattr(other, name)]))
 
     def drawn(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """Size of the edge that each draw takes at its node."""
-        first, count = self.first[node], self.first[node + 1] - self.first[node]
-        size = np.zeros(len(node), np.int64)
-        open_ = np.arange(len(node))
-        for step in range(int(count.max(initial=0)) - 1):
-            open_ = open_[(step < count[open_] - 1) & (self.ladder[first[open_] + np.minimum(step, count[open_] - 1)] <= u[open_])]
-            size[open_] += 1
-            if not len(open_):
-                break
-        return size + 1
+        """The edge that each draw takes at its node."""
+        edge, last = self.first[node], self.first[node + 1] - 1
+        open_ = np.flatnonzero((edge < last) & (self.ladder[edge] <= u))
+        while len(open_):
+            edge[open_] += 1
+            on = edge[open_]
+            open_ = open_[(on < last[open_]) & (self.ladder[on] <= u[open_])]
+        return edge
 
     def drawn_without(self, node: int, u: float, used: tuple[int, ...]) -> int:
-        """Size of an edge of one node that is none of ``used``."""
-        p = np.exp(self.log_p[self.first[node] : self.first[node + 1]])
-        p[np.array(used) - 1] = 0.0
+        """An edge of one node that is none of ``used``."""
+        first = self.first[node]
+        p = np.exp(self.log_p[first : self.first[node + 1]])
+        p[np.array(used) - first] = 0.0
         ladder = np.cumsum(p)
-        return int(min(np.searchsorted(ladder, u * ladder[-1], "right"), np.flatnonzero(p)[-1])) + 1
+        return int(first + min(np.searchsorted(ladder, u * ladder[-1], "right"), np.flatnonzero(p)[-1]))
+
+
+class Words:
+    """The lattices of the words that a task has met, each built once; begun anew beyond ``KEPT_EDGES`` edges."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.lattice: Lattice | None = None
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def numbered(self, codes: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of each of the words ``codes[first:ends]`` in the lattice, which then holds them all."""
+        keys, pick, kind = np.unique(mixed(Rolling(codes).of(first, ends)), return_index=True, return_inverse=True)
+        if self.lattice is None or len(self.lattice.ids) > KEPT_EDGES:
+            self.lattice = None
+            self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        new = np.ones(len(keys), bool) if not len(self.keys) else self.keys[at] != keys
+        if new.any() or self.lattice is None:
+            size = ends[pick[new]] - first[pick[new]]
+            starts = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+            spelled = codes[np.arange(starts[-1]) + np.repeat(first[pick[new]] - starts[:-1], size)]
+            lattice, before = Lattice(spelled, starts, self.vocabulary), len(self.numbers)
+            if self.lattice is None:
+                self.lattice = lattice
+            else:
+                self.lattice.extend(lattice)
+            joined = np.concatenate([self.keys, keys[new]])
+            order = np.argsort(joined, kind="stable")
+            self.keys = joined[order]
+            self.numbers = np.concatenate([self.numbers, before + np.arange(len(size))])[order]
+        return self.numbers[np.searchsorted(self.keys, keys)][kind] if len(keys) else np.zeros(0, np.int64)
 
 
 def _uniform(seed: np.ndarray, place: np.ndarray, turn: int) -> np.ndarray:
@@ -215,7 +261,8 @@ def _uniform(seed: np.ndarray, place: np.ndarray, turn: int) -> np.ndarray:
 class _Sampler:
     """The texts of one run: word ``w`` of text ``t`` is instance ``first[t] + w``."""
 
-    def __init__(self, texts: list[str | None], seeds: np.ndarray, vocabulary: Vocabulary):
+    def __init__(self, texts: list[str | None], seeds: np.ndarray, words: Words):
+        vocabulary = words.vocabulary
         codes, starts = packed(texts)
         sizes = np.diff(starts)
         some = (sizes > 0) & vocabulary.prefix
@@ -231,10 +278,8 @@ class _Sampler:
             cuts = [np.arange(f, f + n, STRETCH) for f, n in zip(first, long, strict=True)]
             first = np.concatenate(cuts)
         ends = np.append(first[1:], len(marked))
-        _, pick, self.kind = np.unique(mixed(Rolling(marked).of(first, ends)), return_index=True, return_inverse=True)
-        size = ends[pick] - first[pick]
-        at = np.concatenate([[0], np.cumsum(size)])
-        self.lattice = Lattice(marked[np.arange(at[-1]) + np.repeat(first[pick] - at[:-1], size)], at, vocabulary)
+        self.kind = words.numbered(marked, first, ends)
+        self.lattice = words.lattice
         self.first = np.searchsorted(first, starts)
         counts = np.diff(self.first)
         self.owner = np.repeat(np.arange(len(texts)), counts)
@@ -243,23 +288,23 @@ class _Sampler:
         self.n = len(texts)
 
     def paths(self, words: np.ndarray, nodes: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(instance, node, size) of the edges drawn from each given node to the end of its word, in order."""
+        """(instance, node, edge) of the edges drawn from each given node to the end of its word, in order."""
         lattice, out = self.lattice, []
         end = lattice.end[self.kind[words]]
         place = (words - self.first[self.owner[words]]) << 16
         step = 0
         while len(words):
-            size = lattice.drawn(nodes, _uniform(self.seed[words], place + step, turn))
-            out.append((words, nodes, size))
-            nodes = nodes + size
+            edge = lattice.drawn(nodes, _uniform(self.seed[words], place + step, turn))
+            out.append((words, nodes, edge))
+            nodes = nodes + lattice.size[edge]
             on = nodes < end
             words, nodes, end, place = words[on], nodes[on], end[on], place[on]
             step += 1
         if not out:
             return (np.zeros(0, np.int64),) * 3
-        word, node, size = (np.concatenate(x) for x in zip(*out, strict=True))
+        word, node, edge = (np.concatenate(x) for x in zip(*out, strict=True))
         order = np.argsort(word, kind="stable")
-        return word[order], node[order], size[order]
+        return word[order], node[order], edge[order]
 
 
 def _truncated(mass: np.ndarray, u: np.ndarray, bound: np.ndarray) -> np.ndarray:
@@ -269,31 +314,36 @@ def _truncated(mass: np.ndarray, u: np.ndarray, bound: np.ndarray) -> np.ndarray
 
 
 class _Path:
-    __slots__ = ("word", "node", "size", "log_p", "banned")
+    __slots__ = ("word", "node", "edge", "log_p", "banned")
 
-    def __init__(self, word, node, size, log_p, banned):
-        self.word, self.node, self.size, self.log_p = word, node, size, log_p
-        self.banned = banned  # edge number at which the path left its parent, and the sizes used there before
+    def __init__(self, word, node, edge, log_p, banned):
+        self.word, self.node, self.edge, self.log_p = word, node, edge, log_p
+        self.banned = banned  # place at which the path left its parent, and the edges used there before
 
 
-def sample(texts: list[str | None], seeds: np.ndarray, vocabulary: Vocabulary, k: int) -> list[list[tuple]]:
-    """For each text its segmentations (ids, log probability, perturbed value, inclusion), best first."""
-    s = _Sampler(texts, seeds, vocabulary)
+def sample(
+    texts: list[str | None], seeds: np.ndarray, vocabulary: Vocabulary, k: int, known: Words | None = None
+) -> list[list[tuple]]:
+    """For each text its segmentations (ids, log probability, perturbed value, inclusion), best first.
+
+    The lattices of ``known`` words are used again; the result does not depend on them.
+    """
+    s = _Sampler(texts, seeds, known or Words(vocabulary))
     lattice = s.lattice
     words = np.arange(len(s.kind))
-    word, node, size = s.paths(words, lattice.start[s.kind], 0)
-    log_p = lattice.log_prob(node, size)
+    word, node, edge = s.paths(words, lattice.start[s.kind], 0)
+    log_p = lattice.log_p[edge]
     at = np.searchsorted(word, s.first)
     value = -np.log(-np.log(_uniform(s.text_seed, np.zeros(s.n), 0)))
     found: list[list[tuple[_Path, float]]] = [[] for _ in range(s.n)]
-    # open subspaces of each text: (perturbed value, path, edge number)
+    # open subspaces of each text: (perturbed value, path, place)
     heap: list[list[tuple[float, _Path, int]]] = [[] for _ in range(s.n)]
-    edges = [slice(at[t], at[t + 1]) for t in range(s.n)]
-    fresh = [(t, _Path(word[e], node[e], size[e], log_p[e], (-1, ())), float(value[t])) for t, e in enumerate(edges)]
+    parts = [slice(at[t], at[t + 1]) for t in range(s.n)]
+    fresh = [(t, _Path(word[e], node[e], edge[e], log_p[e], (-1, ())), float(value[t])) for t, e in enumerate(parts)]
     for turn in range(1, k + 1):
         for t, path, bound in fresh:
             found[t].append((path, bound))
-            heap[t] = _cut(s, t, path, bound, heap[t], k + 1 - turn, turn)
+        _cut(s, fresh, heap, k + 1 - turn, turn)
         if turn == k:
             break
         chosen = [(t, *heap[t].pop(0)) for t in range(s.n) if heap[t]]
@@ -301,28 +351,38 @@ def sample(texts: list[str | None], seeds: np.ndarray, vocabulary: Vocabulary, k
     return [[_finished(lattice, vocabulary, path, value, heap[t]) for path, value in found[t]] for t in range(s.n)]
 
 
-def _cut(s: _Sampler, t: int, path: _Path, bound: float, heap: list, keep: int, turn: int) -> list:
-    """Add the subspaces of a path to those of its text, and keep the best."""
-    if not len(path.node):
-        return heap
-    left, used = path.banned
-    lo = max(left, 0)
-    other = 1.0 - np.exp(path.log_p[lo:])
-    spare = s.lattice.ways[path.node[lo:]] - 1
-    if left >= 0:
-        spare[0] -= len(used)
-        other[0] -= np.exp(s.lattice.log_prob(np.full(len(used), path.node[left]), np.array(used))).sum()
-    before = np.cumsum(path.log_p) - path.log_p
-    other = np.maximum(other, 1e-300)
+def _cut(s: _Sampler, fresh: list[tuple[int, _Path, float]], heap: list[list], keep: int, turn: int) -> None:
+    """Add the subspaces of fresh paths to those of their texts, and keep the best of each text."""
+    fresh = [x for x in fresh if len(x[1].edge)]
+    if not fresh:
+        return
+    lows = [max(path.banned[0], 0) for _, path, _ in fresh]
+    sizes = np.array([len(path.edge) - lo for (_, path, _), lo in zip(fresh, lows, strict=True)])
+    ends = np.cumsum(sizes)
+    log_p = np.concatenate([path.log_p[lo:] for (_, path, _), lo in zip(fresh, lows, strict=True)])
+    node = np.concatenate([path.node[lo:] for (_, path, _), lo in zip(fresh, lows, strict=True)])
+    before = np.concatenate([(np.cumsum(path.log_p) - path.log_p)[lo:] for (_, path, _), lo in zip(fresh, lows, strict=True)])
+    other = 1.0 - np.exp(log_p)
+    spare = s.lattice.first[node + 1] - s.lattice.first[node] - 1
+    for (_, path, _), first in zip(fresh, (ends - sizes).tolist(), strict=True):
+        left, used = path.banned
+        if left >= 0:
+            spare[first] -= len(used)
+            other[first] -= np.exp(s.lattice.log_p[np.array(used, np.int64)]).sum()
     live = np.flatnonzero(spare > 0)
-    if not len(live):
-        return heap
-    mass = before[lo:][live] + np.log(other[live])
-    u = _uniform(np.full(len(live), s.text_seed[t]), live + lo, 1000 + turn)
-    values = _truncated(mass, u, np.full(len(live), bound))
-    best = np.argpartition(-values, keep)[:keep] if len(values) > keep else np.arange(len(values))
-    both = heap + [(float(values[b]), path, int(live[b]) + lo) for b in best]
-    return sorted(both, key=lambda x: -x[0])[:keep]
+    owner = np.searchsorted(ends, live, "right")
+    place = live - (ends - sizes)[owner] + np.array(lows)[owner]
+    mass = before[live] + np.log(np.maximum(other[live], 1e-300))
+    texts = np.array([t for t, _, _ in fresh])
+    u = _uniform(s.text_seed[texts[owner]], place, 1000 + turn)
+    values = _truncated(mass, u, np.array([bound for _, _, bound in fresh])[owner])
+    cuts = np.searchsorted(owner, np.arange(len(fresh) + 1)).tolist()
+    for i, (t, path, _) in enumerate(fresh):
+        own = values[cuts[i] : cuts[i + 1]]
+        if len(own):
+            best = np.argpartition(-own, keep)[:keep] if len(own) > keep else np.arange(len(own))
+            both = heap[t] + [(float(own[b]), path, int(place[cuts[i] + b])) for b in best.tolist()]
+            heap[t] = sorted(both, key=lambda x: -x[0])[:keep]
 
 
 def _opened(s: _Sampler, chosen: list[tuple], turn: int) -> list[tuple[int, _Path, float]]:
@@ -336,22 +396,22 @@ def _opened(s: _Sampler, chosen: list[tuple], turn: int) -> list[tuple[int, _Pat
     used, taken = [], np.zeros(len(chosen), np.int64)
     u = _uniform(s.text_seed[texts], word, 2000 + turn)
     for i, (_, _, path, e) in enumerate(chosen):
-        used.append(((*path.banned[1],) if path.banned[0] == e else ()) + (int(path.size[e]),))
+        used.append(((*path.banned[1],) if path.banned[0] == e else ()) + (int(path.edge[e]),))
         taken[i] = lattice.drawn_without(nodes[i], u[i], used[-1])
-    after = nodes + taken
+    after = nodes + lattice.size[taken]
     unfinished = after < lattice.end[s.kind[word]]
     last = s.first[texts + 1]
     rest = last - word - 1
     later = np.repeat(word + 1 - np.concatenate([[0], np.cumsum(rest)[:-1]]), rest) + np.arange(rest.sum())
     starts = np.concatenate([after[unfinished], lattice.start[s.kind[later]]])
-    tail_word, tail_node, tail_size = s.paths(np.concatenate([word[unfinished], later]), starts, turn)
-    tail_p = lattice.log_prob(tail_node, tail_size)
+    tail_word, tail_node, tail_edge = s.paths(np.concatenate([word[unfinished], later]), starts, turn)
+    tail_p = lattice.log_p[tail_edge]
     lo, hi = np.searchsorted(tail_word, word), np.searchsorted(tail_word, last)
     out = []
     for i, (t, value, path, e) in enumerate(chosen):
         cut = slice(lo[i], hi[i])
-        step = (word[i : i + 1], nodes[i : i + 1], taken[i : i + 1], lattice.log_prob(nodes[i : i + 1], taken[i : i + 1]))
-        parts = zip((path.word, path.node, path.size, path.log_p), step, (tail_word, tail_node, tail_size, tail_p), strict=True)
+        step = (word[i : i + 1], nodes[i : i + 1], taken[i : i + 1], lattice.log_p[taken[i : i + 1]])
+        parts = zip((path.word, path.node, path.edge, path.log_p), step, (tail_word, tail_node, tail_edge, tail_p), strict=True)
         out.append((t, _Path(*(np.concatenate([a[:e], b, c[cut]]) for a, b, c in parts), (e, used[i])), value))
     return out
 
@@ -365,7 +425,7 @@ def _spelled(code: int, vocabulary: Vocabulary) -> np.ndarray:
 def _finished(lattice: Lattice, vocabulary: Vocabulary, path: _Path, value: float, heap: list) -> tuple:
     log_prob = float(path.log_p.sum())
     inclusion = 1.0 if not heap else float(-np.expm1(-np.exp(min(50.0, log_prob - heap[0][0]))))
-    ids = lattice.ids[lattice.first[path.node] + path.size - 1]
+    ids = lattice.ids[path.edge]
     bare = np.flatnonzero(ids < 0)
     if len(bare):
         codes = lattice.code_at[path.node[bare]]
@@ -384,11 +444,12 @@ def segmentations(
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words(held.value)
         for batch in batches:
             texts = batch.column(3).to_pylist()
             seeds = np.asarray(batch.column(2)).view(np.uint64)
             for lo, hi in slices(texts, RUN_CHARS):
-                drawn = sample(texts[lo:hi], seeds[lo:hi], held.value, k)
+                drawn = sample(texts[lo:hi], seeds[lo:hi], held.value, k, known)
                 rows = [(lo + i, rank, *x) for i, ways in enumerate(drawn) for rank, x in enumerate(ways, 1)]
                 at, rank, ids, log_prob, value, inclusion = zip(*rows, strict=True)
                 ends = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
@@ -407,24 +468,54 @@ def segmentations(
     return taken.mapInArrow(run, f"id {kind}, text_key long, {_COLUMNS}").withColumnRenamed("id", id_column)
 
 
+class Spelling:
+    """The bytes of all pieces in a row, so that ids become text without an object per id."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.flat = np.frombuffer(b"".join(vocabulary.pieces), np.uint8)
+        self.size = np.array([len(p) for p in vocabulary.pieces], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.drop = 1 if vocabulary.prefix else 0
+
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The text of each row of ids; bytes that are no UTF-8 are replaced."""
+        size = self.size[ids]
+        at = np.append(0, np.cumsum(size))
+        spelled = self.flat[np.arange(at[-1]) + np.repeat(self.start[ids] - at[:-1], size)]
+        bounds = at[ends]
+        if self.drop:
+            first = np.zeros(len(spelled), bool)
+            first[bounds[:-1][np.diff(bounds) > 0]] = True
+            gone = np.append(0, np.cumsum(first))
+            spelled, bounds = spelled[~first], bounds - gone[bounds]
+        rows = pa.Array.from_buffers(pa.large_string(), len(ends) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(spelled.tobytes())])
+        try:
+            rows.validate(full=True)
+        except pa.ArrowInvalid:
+            raw = spelled.tobytes()
+            return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.string())
+        return rows.cast(pa.string())
+
+
 def decoded(frame: DataFrame, vocabulary: Vocabulary, ids_column: str = "ids", name: str = "decoded") -> DataFrame:
-    """``frame`` with the ids column replaced by the text that it spells."""
+    """``frame`` with the ids column replaced by the text that it spells, ``DECODE_IDS`` ids or one row at a time."""
     held = frame.sparkSession.sparkContext.broadcast(vocabulary)
     kept = [f for f in frame.schema.fields if f.name != ids_column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, drop = held.value.pieces, 1 if held.value.prefix else 0
+        spelling = Spelling(held.value)
         for batch in batches:
             where = batch.schema.get_field_index(ids_column)
             column = batch.column(where)
-            flat, ends = column.flatten().to_pylist(), np.append(0, np.cumsum(column.value_lengths().to_numpy(False)))
-            for lo in range(0, batch.num_rows, 64):
-                texts = [
-                    b"".join([pieces[x] for x in flat[ends[i] : ends[i + 1]]])[drop:].decode("utf-8", "replace")
-                    for i in range(lo, min(lo + 64, batch.num_rows))
-                ]
-                others = [batch.column(i).slice(lo, 64) for i in range(batch.num_columns) if i != where]
-                yield pa.RecordBatch.from_arrays([*others, pa.array(texts, pa.string())], [*(f.name for f in kept), name])
+            sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat, ends = np.asarray(column.flatten()), np.append(0, np.cumsum(sizes))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + DECODE_IDS, "right")) - 1)
+                texts = spelling.texts(flat[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo])
+                others = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns) if i != where]
+                yield pa.RecordBatch.from_arrays([*others, texts], [*(f.name for f in kept), name])
+                lo = hi
 
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
     return frame.mapInArrow(run, f"{columns}, {name} string")
