@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagtrail.llm.batches import STEP, Rolling, grams, lowered, mixed, packed, slices, space_words
-from tagtrail.llm.sampling import labelled_sample
+from tagtrail.llm.sampling import in_order, labelled_sample
 
 BITS = 18
 CHARS = 4
@@ -235,11 +235,8 @@ def fit_rules(
 
     chosen = labelled_sample(docs, labels, usable, id_column, text_column, label_column, sample, sample_chars, 1 << BITS)
     table = chosen.mapInArrow(run, "label double, place long, at array<int>, value array<float>").toArrow()
-    if not table.num_rows:
-        return fit_on([], np.zeros(0))
-    table = table.sort_by("place").combine_chunks()
-    each = [(np.asarray(a.values), np.asarray(v.values, np.float64)) for a, v in zip(table.column("at"), table.column("value"), strict=True)]
-    return fit_on(each, table.column("label").to_numpy())
+    order, (at, value) = in_order(table, ["at", "value"])
+    return fit_on(list(zip(at, value, strict=True)), table.column("label").to_numpy()[order])
 
 
 def _judged(held: Broadcast):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,3 +71,16 @@ def labelled_sample(
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     weight = F.least(F.coalesce(F.length("text"), F.lit(0)), F.lit(most_features)).cast("long")
     return bounded_sample(rows, ["id", "text"], weight, sample, chars, named).select("label", "text", "place")
+
+
+def in_order(table: pa.Table, lists: list[str]) -> tuple[np.ndarray, list[list[np.ndarray]]]:
+    """The order of the rows by ``place``, and the values of each list column in that order, as views that copy nothing."""
+    order = np.argsort(table.column("place").to_numpy(), kind="stable")
+    out = []
+    for name in lists:
+        views: list[np.ndarray] = []
+        for chunk in table.column(name).chunks:
+            ends, values = np.asarray(chunk.offsets).tolist(), np.asarray(chunk.values)
+            views += [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        out.append([views[i] for i in order.tolist()])
+    return order, out

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagtrail.llm.batches import grams, plain_words, slices
-from tagtrail.llm.sampling import labelled_sample
+from tagtrail.llm.sampling import in_order, labelled_sample
 
 BITS = 20
 #: Offsets of the words that make one feature.
@@ -124,9 +124,9 @@ def fit_toxicity(
     """Weights from labelled rows for which ``usable``, a condition on the label table, holds: ``sample`` rows
     and ``sample_chars`` characters at most, learned from in the order of a hash."""
     chosen = labelled_sample(docs, labels, usable, id_column, text_column, label_column, sample, sample_chars, 1 << bits)
-    rows = chosen.mapInArrow(_features(bits), "label double, place long, buckets array<int>").toArrow().sort_by("place")
-    found = [np.asarray(x.values) for x in rows.column("buckets").combine_chunks()] if rows.num_rows else []
-    return ftrl(found, rows.column("label").to_numpy() if rows.num_rows else np.zeros(0), bits)
+    rows = chosen.mapInArrow(_features(bits), "label double, place long, buckets array<int>").toArrow()
+    order, (found,) = in_order(rows, ["buckets"])
+    return ftrl(found, rows.column("label").to_numpy()[order], bits)
 
 
 def _scored(weights: Weights):
