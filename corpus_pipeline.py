@@ -4,9 +4,10 @@ Each stage takes (spark, docs, sf_dir), works on every row that the stage before
 all but the last return the columns of ``docs``. :func:`run` writes what a stage returns to the shared
 folder and reads it for the next, so a lost executor costs one stage's tasks at most.
 
-A row that a stage cannot judge stays: rows with a null doc_id pass every filter,
-and null texts are scored like empty ones. Rows that repeat a doc_id stay or go together in
-the filters by text pairs. Columns beyond the documents' own are carried along untouched.
+Every row is judged by its own text: the classifiers and the benchmark go by a hash of the text, so rows with a null
+or repeated doc_id are judged like any other, and null texts like empty ones. Among near duplicates the
+smallest doc_id stays; rows whose doc_id is null or stands on several rows get a number of their own, behind all others, and of
+rows that are equal in doc_id and text one stays. Columns beyond the documents' own are carried along untouched.
 """
 
 from __future__ import annotations
@@ -32,10 +33,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
-    """The rows whose id is none of ``ids``."""
-    gone = materialize(ids.where(F.col(column).isNotNull()).select(F.col(column).alias("_gone")).distinct(), "rejected")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+_KEY, _ROW, _TWICE = "_text_key", "_row", "_twice"
+#: Numbers of rows without a doc_id of their own begin here.
+_BEHIND = 1 << 62
+
+
+def _by_text(docs: DataFrame) -> DataFrame:
+    """``docs`` with a hash of the text, by which rows are judged."""
+    return docs.withColumn(_KEY, F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def _without(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of ``docs`` whose ``column`` is none of ``ids``."""
+    gone = materialize(ids.select(F.col(column).alias("_gone")).distinct(), "rejected")
+    return docs.join(gone, docs[column] == gone["_gone"], "left_anti").drop(column)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number: the doc_id, or for rows that share it or have none a hash of doc_id and text."""
+    twice = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(_TWICE)).count().where("count > 1").select(_TWICE)
+    marked = docs.join(materialize(twice, "repeated"), F.col("doc_id") == F.col(_TWICE), "left")
+    own = F.xxhash64("doc_id", "text").bitwiseAND((1 << 61) - 1) + F.lit(_BEHIND)
+    odd = F.col("doc_id").isNull() | F.col(_TWICE).isNotNull()
+    return marked.withColumn(_ROW, F.when(odd, own).otherwise(F.col("doc_id").cast("long"))).drop(_TWICE)
 
 
 def _learned_from() -> Column:
@@ -45,24 +65,35 @@ def _learned_from() -> Column:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity below 0.3; learned from the labels of three quarters of the ids."""
     weights = fit_toxicity(docs, _table(spark, sf_dir, "labels"), _learned_from())
-    return _without(docs, toxicity(docs, weights).where(F.col("score") >= TOXIC_FROM))
+    docs = _by_text(docs)
+    return _without(docs, toxicity(docs, weights, _KEY).where(F.col("score") >= TOXIC_FROM), _KEY)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality of 0.7 or more; learned from the labels of three quarters of the ids."""
-    rows = measured(docs)
-    model = fit_quality(rows, _table(spark, sf_dir, "labels"), _learned_from())
-    return _without(docs, quality(rows, model).where(F.col("score") < GOOD_FROM))
+    docs = _by_text(docs)
+    labels = _table(spark, sf_dir, "labels").where(_learned_from()).select("doc_id", "quality")
+    labels = labels.join(docs.select("doc_id", _KEY), "doc_id")
+    rows = measured(docs, _KEY)
+    model = fit_quality(rows, labels, F.lit(True), _KEY)
+    return _without(docs, quality(rows, model, _KEY).where(F.col("score") < GOOD_FROM), _KEY)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is linked by five-word shingles at 0.8; the smallest doc_id stays."""
-    return _without(docs, near_duplicates(docs, width=5, percent=80).where("NOT kept"))
+    docs = _numbered(docs)
+    kept = docs.join(
+        materialize(near_duplicates(docs, _ROW, width=5, percent=80).where("NOT kept").select(F.col(_ROW).alias("_gone")), "copies"),
+        F.col(_ROW) == F.col("_gone"), "left_anti",
+    )
+    own, odd = kept.where(F.col(_ROW) < _BEHIND), kept.where(F.col(_ROW) >= _BEHIND)
+    return own.unionByName(odd.dropDuplicates([_ROW])).drop(_ROW)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, up to a tenth of its characters edited."""
-    return _without(docs, benchmark_matches(docs, _table(spark, sf_dir, "benchmark")))
+    docs = _by_text(docs)
+    return _without(docs, benchmark_matches(docs, _table(spark, sf_dir, "benchmark"), _KEY), _KEY)
 
 
 def sample_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,7 +108,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("benchmark", drop_benchmark),
     ("segmentations", sample_tokens),
 ]
-#: The classifiers and the edit distance cannot be told in SQL; tests/llm compare with plain versions.
+#: The classifiers and the edit distance cannot be told in SQL; tests/llm/test_pipeline.py compares each stage with a plain version.
 ORACLE_SQL = None
 
 
