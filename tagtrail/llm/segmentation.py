@@ -45,9 +45,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 STRETCH = 1 << 15
 #: Characters of one run: lattices and paths of a run are held at once.
-RUN_CHARS = 1 << 19
+RUN_CHARS = 1 << 18
 #: Edges of the lattices that a task keeps for later runs.
-KEPT_EDGES = 6 << 20
+KEPT_EDGES = 3 << 20
 DECODE_IDS = 1 << 19
 MODEL_BYTES = 64 << 20
 _SPACE = "▁"
