@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on every row that the stage before
 all but the last return the columns of ``docs``. :func:`run` writes what a stage returns to the shared
 folder and reads it for the next, so a lost executor costs one stage's tasks at most.
 
-Every row is judged by its own text: the classifiers and the benchmark go by a hash of the text, so rows with a null
-or repeated doc_id are judged like any other, and null texts like empty ones. Among near duplicates the
+Every row is judged by its own text: it goes through the classifiers as a whole, and for the benchmark by a hash of its text, so rows with a
+null or repeated doc_id are judged like any other, and null texts like empty ones. Among near duplicates the
 smallest doc_id stays; rows whose doc_id is null or stands on several rows get a number of their own, behind all others, and of
 rows that are equal in doc_id and text one stays. Columns beyond the documents' own are carried along untouched.
 """
@@ -27,22 +27,33 @@ from tagtrail.session import materialize
 
 TOXIC_FROM = 0.3
 GOOD_FROM = 0.7
+BATCH_ROWS = 500
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-_KEY, _ROW, _TWICE = "_text_key", "_row", "_twice"
+_KEY, _ROW, _TWICE, _ALL = "_text_key", "_row", "_twice", "_all"
 #: Numbers of rows without a doc_id of their own begin here.
 _BEHIND = 1 << 62
 
 
+def _in_small_batches(spark: SparkSession) -> None:
+    """Long texts go to Python in batches of few rows, so that a worker holds little at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def _by_text(docs: DataFrame) -> DataFrame:
     """``docs`` with a hash of the text, by which rows are judged."""
     return docs.withColumn(_KEY, F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """(_all, text): each row as one value that goes through an operator as its id, so that no verdict is joined back."""
+    return docs.select(F.struct(*docs.columns).alias(_ALL), "text")
+
+
 def _without(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """The rows of ``docs`` whose ``column`` is none of ``ids``."""
     gone = materialize(ids.select(F.col(column).alias("_gone")).distinct(), "rejected")
@@ -64,23 +75,23 @@ def _learned_from() -> Column:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity below 0.3; learned from the labels of three quarters of the ids."""
+    _in_small_batches(spark)
     weights = fit_toxicity(docs, _table(spark, sf_dir, "labels"), _learned_from())
-    docs = _by_text(docs)
-    return _without(docs, toxicity(docs, weights, _KEY).where(F.col("score") >= TOXIC_FROM), _KEY)
+    return toxicity(_whole(docs), weights, _ALL).where(F.col("score") < TOXIC_FROM).select(f"{_ALL}.*")
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality of 0.7 or more; learned from the labels of three quarters of the ids."""
-    docs = _by_text(docs)
-    labels = _table(spark, sf_dir, "labels").where(_learned_from()).select("doc_id", "quality")
-    labels = labels.join(docs.select("doc_id", _KEY), "doc_id")
-    rows = measured(docs, _KEY)
-    model = fit_quality(rows, labels, F.lit(True), _KEY)
-    return _without(docs, quality(rows, model, _KEY).where(F.col("score") < GOOD_FROM), _KEY)
+    _in_small_batches(spark)
+    rows = measured(_whole(docs), _ALL)
+    known = rows.select(F.col("id.doc_id").alias("id"), "statistics")
+    model = fit_quality(known, _table(spark, sf_dir, "labels"), _learned_from())
+    return quality(rows, model, _ALL).where(F.col("score") >= GOOD_FROM).select(f"{_ALL}.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is linked by five-word shingles at 0.8; the smallest doc_id stays."""
+    _in_small_batches(spark)
     docs = _numbered(docs)
     kept = docs.join(
         materialize(near_duplicates(docs, _ROW, width=5, percent=80).where("NOT kept").select(F.col(_ROW).alias("_gone")), "copies"),
@@ -92,12 +103,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, up to a tenth of its characters edited."""
+    _in_small_batches(spark)
     docs = _by_text(docs)
     return _without(docs, benchmark_matches(docs, _table(spark, sf_dir, "benchmark"), _KEY), _KEY)
 
 
 def sample_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of each document, with their ids as one hash and a check of the round trip."""
+    _in_small_batches(spark)
     return token_digests(docs)
 
 
