@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tagtrail.functions.numeric import percent
 from tagtrail.functions.text import TAG_LENGTH, TAG_PREFIX, clean_tag
-from tagtrail.operators.keyed import Names, lookup, names, winner_by_count
+from tagtrail.operators.keyed import SET_LIMIT, Names, collected, lookup, names, winner_by_count
 
 
 def dominant_category(
@@ -63,25 +63,23 @@ def tag_state(
 
 
 def dominant_neighbour(
-    trans: DataFrame, by: Names, neighbour: Names, hours: bool = False, joined: str | None = None
+    trans: DataFrame, by: Names, neighbour: Names, hours: bool = False, joined: str | None = None, limit: int = SET_LIMIT
 ) -> DataFrame:
     """The most frequent ``neighbour`` of each ``by`` in a table of transitions.
 
     Gives its count, the total, the percentage and, if asked, the mean hours to
     it and the sorted, pipe-joined ``joined`` values seen with it. Transitions
-    are counted per distinct combination before anything is collected, so the
-    set holds at most the distinct lanes of one place.
+    are counted per distinct combination first; a set of more than ``limit`` values is an error that names
+    its group, see :func:`tagtrail.operators.keyed.collected`.
     """
     by, neighbour = names(by), names(neighbour)
     fine = [*by, *neighbour] + ([joined] if joined else [])
     counted = trans.groupBy(*fine).agg(F.count(F.lit(1)).alias("n"), F.sum("hours").alias("_hours"))
     extra = ["_hours"]
     if joined:
-        counted = counted.groupBy(*by, *neighbour).agg(
-            F.sum("n").alias("n"),
-            F.sum("_hours").alias("_hours"),
-            F.array_join(F.array_sort(F.collect_set(joined)), "|").alias("_joined"),
-        )
+        sums = [F.sum("n").alias("n"), F.sum("_hours").alias("_hours")]
+        counted = collected(counted, [*by, *neighbour], F.col(joined), "_joined", sums, limit)
+        counted = counted.withColumn("_joined", F.array_join("_joined", "|"))
         extra.append("_joined")
     best = winner_by_count(counted, by, neighbour, "n", extra)
     columns = [*by, *neighbour, "count", "total", percent("count", "total").alias("percent")]
@@ -92,6 +90,12 @@ def dominant_neighbour(
     return best.select(*columns)
 
 
+def with_modal_key(freq: DataFrame, key: Names, amount: str = "amount") -> DataFrame:
+    """The rows that may give a modal amount: not zero, and no part of the key null or blank."""
+    named = reduce(lambda a, b: a & b, [F.trim(F.col(c).cast("string")) != "" for c in names(key)])
+    return freq.where((F.col(amount) != 0) & named)
+
+
 def modal_amount(freq: DataFrame, key: Names, amount: str = "amount", frequency: str = "frequency") -> DataFrame:
     """The most frequent non-zero amount per key; ties go to the smallest amount.
 
@@ -99,9 +103,8 @@ def modal_amount(freq: DataFrame, key: Names, amount: str = "amount", frequency:
     frequency decides, as in the reference data's frequency tables. A null or blank key has no modal amount.
     """
     key = names(key)
-    named = reduce(lambda a, b: a & b, [F.trim(F.col(c).cast("string")) != "" for c in key])
     return (
-        freq.where((F.col(amount) != 0) & named)
+        with_modal_key(freq, key, amount)
         .groupBy(*key)
         .agg(F.min(F.struct((-F.col(frequency)).alias("_neg"), F.col(amount))).alias("_best"))
         .select(*key, F.col("_best")[amount].alias(amount), (-F.col("_best")["_neg"]).alias(frequency))

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagtrail.functions.text import LOOSE_TAG_LENGTH, REGISTRATION_ANY, REGISTRATION_LOOSE, clean_tag, prefix
-from tagtrail.operators.dominant import dominant_category, modal_amount
-from tagtrail.operators.keyed import Names, lookup, names, skew_join, valued_pairs
+from tagtrail.operators.dominant import modal_amount, with_modal_key
+from tagtrail.operators.keyed import Names, names, skew_join, valued_pairs
 
 
 def valid_registrations(
@@ -43,7 +43,7 @@ def impute_registration(
     min_share: float = 0.25,
     default: str = "default",
 ) -> DataFrame:
-    """Registrations for the keys that need one: (key, method, value).
+    """Registrations for the keys that need one: (key, method, value), from one grouping of ``txn``.
 
     ``unique`` and ``multi`` come from well-formed values in ``txn``; a key with several
     has a row for each. The other keys get ``imputed``: the code of their dominant state, or ``default``,
@@ -51,18 +51,38 @@ def impute_registration(
     """
     keep = clean_tag(key, band=LOOSE_TAG_LENGTH) if keep is None else keep
     wanted = need.where(keep).select(key).distinct()
-    found = skew_join(txn, wanted, key, "left_semi")
-    pairs = valued_pairs(found.where(F.col(value).rlike(pattern)), key, value)
-    states = dominant_category(found, key, state, min_share, unless=F.col(value).rlike(pattern))
-    imputed = lookup(states, codes, state, code, F.lit(default)).select(key, F.concat(F.col(code), F.lit("00")).alias("_made"))
-    every = skew_join(wanted, pairs, key, "left").join(imputed, key, "left")
+    code_of = codes.where(F.col(code).isNotNull()).groupBy(state).agg(F.min(code).alias("_code"))
+    good = F.col(value).rlike(pattern)
+    # one row per key and state, or per key and well-formed value: a veto, a count or a value
+    facts = (
+        txn.where(F.col(key).isNotNull() & (F.coalesce(good, F.lit(False)) | F.col(state).isNotNull()))
+        .groupBy(key, F.when(good, F.col(value)).alias("_value"), F.when(~F.coalesce(good, F.lit(False)), F.col(state)).alias("_state"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    best = F.min(F.when(F.col("_state").isNotNull(), F.struct((-F.col("_n")).alias("neg"), F.col("_state").alias("state"))))
+    decided = facts.groupBy(key).agg(
+        F.min("_value").alias("_low"),
+        F.max("_value").alias("_high"),
+        best.alias("_best"),
+        F.sum(F.when(F.col("_state").isNotNull(), F.col("_n"))).alias("_total"),
+    )
+    every = wanted.join(decided, key, "left")  # a row per key on both sides, dealt out by it already
+    dominant = F.col("_low").isNull() & (-F.col("_best.neg") / F.col("_total") >= min_share)
     method = (
-        F.when(F.col("n_values") == 1, "unique")
-        .when(F.col("n_values") > 1, "multi")
-        .when(F.col("_made").isNotNull(), "imputed")
+        F.when(F.col("_low") == F.col("_high"), "unique")
+        .when(F.col("_low").isNotNull(), "multi")
+        .when(dominant, "imputed")
         .otherwise("remaining")
     )
-    return every.select(key, method.alias("method"), F.coalesce(F.col(value), F.col("_made")).alias("value"))
+    one = every.select(
+        key, method.alias("method"), F.col("_low").alias("_value"), F.when(dominant, F.col("_best.state")).alias(state)
+    )
+    # only keys with several values read their pairs again; the other keys meet no row
+    several = facts.where(F.col("_value").isNotNull()).select(F.col(key).alias("_key"), F.col("_value").alias("_each"))
+    spread = one.join(several, (F.col("method") == "multi") & (F.col(key) == F.col("_key")), "left")
+    coded = skew_join(spread, code_of, state, "left")
+    made = F.when(F.col("method") == "imputed", F.concat(F.coalesce("_code", F.lit(default)), F.lit("00")))
+    return coded.select(key, "method", F.coalesce(F.col("_each"), F.col("_value"), made).alias("value"))
 
 
 def unmatched(need: DataFrame, valid: DataFrame, txn: DataFrame, key: str = "tag") -> DataFrame:
@@ -89,10 +109,26 @@ def impute_modal(
         modal_amount(table, key, amount, frequency).select(*key, F.lit(i).alias("source"), amount)
         for i, table in enumerate(freq_tables, start=1)
     ]
-    best = (
-        reduce(DataFrame.unionByName, numbered)
-        .groupBy(*key)
-        .agg(F.min(F.struct("source", amount)).alias("_best"))
-        .select(*key, F.col("_best")[amount].alias(amount), F.col("_best")["source"].alias("source"))
-    )
+    return _first_source(need, reduce(DataFrame.unionByName, numbered), key, amount)
+
+
+def impute_modal_windows(
+    need: DataFrame, counted: DataFrame, key: Names = ("vehicle_class", "plaza"), amount: str = "amount", frequencies: Names = ()
+) -> DataFrame:
+    """:func:`impute_modal` where all windows were counted together: one column of ``frequencies`` each, the first window first.
+
+    ``counted`` has a row per key and amount; a window without that amount has 0 there. Both modal amounts come from
+    one grouping of it, and nothing is read once per window.
+    """
+    key = names(key)
+    seen = [F.when(F.col(f) > 0, F.struct((-F.col(f)).alias("neg"), F.col(amount))) for f in names(frequencies)]
+    best = with_modal_key(counted, key, amount).groupBy(*key).agg(*[F.min(x).alias(f"_{i}") for i, x in enumerate(seen, 1)])
+    first = F.coalesce(*[F.when(F.col(f"_{i}").isNotNull(), F.struct(F.lit(i).alias("source"), F.col(f"_{i}.{amount}"))) for i in range(1, len(seen) + 1)])
+    best = best.select(*key, first.alias("_best")).where("_best IS NOT NULL").select(*key, f"_best.{amount}", "_best.source")
+    return skew_join(need, best, key, "left")
+
+
+def _first_source(need: DataFrame, modal: DataFrame, key: list[str], amount: str) -> DataFrame:
+    best = modal.groupBy(*key).agg(F.min(F.struct("source", amount)).alias("_best"))
+    best = best.select(*key, F.col("_best")[amount].alias(amount), F.col("_best")["source"].alias("source"))
     return skew_join(need, best, key, "left")

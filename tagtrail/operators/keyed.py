@@ -12,6 +12,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 Names = str | Iterable[str]
+#: Values that a list in one row may hold.
+SET_LIMIT = 100_000
 
 
 def names(value: Names) -> list[str]:
@@ -103,6 +105,26 @@ def valued_pairs(df: DataFrame, key: str, value: str) -> DataFrame:
     return skew_join(pairs, count_by(pairs, key, "n_values"), key)
 
 
+def collected(
+    df: DataFrame, group: Names, entry: Column, name: str, aggregates: Iterable[Column] = (), limit: int = SET_LIMIT
+) -> DataFrame:
+    """One row per group with ``entry`` of its rows as a sorted list ``name``, next to other ``aggregates``.
+
+    The rows of a group are counted before any is gathered, over the shuffle that the grouping needs anyway. A group of more than ``limit`` rows
+    is gathered nowhere: it is an error that names the group and its size. The form without a limit is
+    :func:`valued_pairs`, a row per key and value. Null entries are left out.
+    """
+    group = names(group)
+    sized = df.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*group)))
+    fits = F.col("_size") <= limit
+    held = F.array_sort(F.collect_list(F.when(fits, entry))).alias(name)
+    out = sized.groupBy(*group).agg(*aggregates, held, F.max("_size").alias("_size"))
+    which = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in group]
+    size = F.concat(F.lit("size="), F.col("_size").cast("string"))
+    error = F.concat(F.lit(f"a group has more than {limit} values: "), F.concat_ws(", ", *which, size))
+    return out.withColumn(name, F.when(fits, F.col(name)).otherwise(F.raise_error(error))).drop("_size")
+
+
 def lookup(df: DataFrame, dim: DataFrame, on: Names, value: str, default: Column | None = None) -> DataFrame:
     """Add ``value`` from a dimension, or ``default`` where it has no entry.
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from tagtrail.functions.dates import before_day, hours_between, on_or_after
 from tagtrail.operators.graph import degrees
 from tagtrail.operators.ordered import previous_event, transitions
+from tagtrail.session import materialize
 from tagtrail.sources.tables import Tables
 from tagtrail.sources.text import in_memory
 
@@ -195,22 +196,37 @@ REGISTRATIONS = """registrations AS (
     FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 
-def amounts(t: Tables, until: str) -> DataFrame:
-    """(class, plaza, amount, frequency) counted over ship dates from 1998-01-01 up to ``until``."""
-    lines = t.lineitem.where(on_or_after("l_shipdate", "1998-01-01") & before_day("l_shipdate", until))
+def priced_lines(t: Tables) -> DataFrame:
+    """The lines of open orders and of the price windows with tag, plaza, segment and amount: one join of four tables, written once.
+
+    ``open`` marks lines of orders in process; ``short`` and ``long`` mark ship dates in the two windows.
+    """
+    short, long = (on_or_after("l_shipdate", "1998-01-01") & before_day("l_shipdate", until) for until in (SHORT_UNTIL, LONG_UNTIL))
+    lines = t.lineitem.select("l_orderkey", "l_partkey", F.col("l_quantity").alias("amount"), short.alias("short"), long.alias("long"))
+    opened = t.orders.select("o_orderkey", "o_custkey", (F.col("o_orderstatus") == "P").alias("open"))
+    wanted = lines.join(opened, F.col("l_orderkey") == F.col("o_orderkey")).where(F.col("open") | F.col("long"))
+    joined = wanted.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    kept = joined.select(
+        F.col("o_custkey").alias("tag"), F.col("p_brand").alias("plaza"), F.col("c_mktsegment").alias("segment"), "amount", "open", "short", "long"
+    )
+    return materialize(kept, "lines")
+
+
+def amounts_by_window(lines: DataFrame) -> DataFrame:
+    """(class, plaza, amount, short, long): how often an amount was paid in each window, both counted in one grouping."""
     return (
-        lines.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy(
-            F.col("c_mktsegment").alias("vehicle_class"),
-            F.col("p_brand").alias("plaza"),
-            F.col("l_quantity").alias("amount"),
-        )
-        .agg(F.count(F.lit(1)).alias("frequency"))
+        lines.where("long")
+        .groupBy(F.col("segment").alias("vehicle_class"), "plaza", "amount")
+        .agg(F.count_if("short").alias("short"), F.count(F.lit(1)).alias("long"))
     )
 
 
+def unpriced(lines: DataFrame) -> DataFrame:
+    """Distinct (tag, plaza, class) that need an amount; one market segment has no class."""
+    named = (F.col("segment") != "FURNITURE") | (F.col("tag") % 11 != 0)
+    return lines.where("open").select("tag", "plaza", F.when(named, F.col("segment")).alias("vehicle_class")).distinct()
+
+
 def _amounts_sql(name: str, until: str) -> str:
     return f"""{name} AS (
     SELECT c_mktsegment AS vehicle_class, p_brand AS plaza, l_quantity AS amount, count(*) AS frequency
@@ -235,23 +251,6 @@ long_modal AS (
 )
 
 
-def unpriced(t: Tables) -> DataFrame:
-    """Distinct (tag, plaza, class) that need an amount; one market segment has no class."""
-    segment = F.col("c_mktsegment")
-    return (
-        t.orders.where(F.col("o_orderstatus") == "P")
-        .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
-        .join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-        .select(
-            F.col("o_custkey").alias("tag"),
-            F.col("p_brand").alias("plaza"),
-            F.when((segment != "FURNITURE") | (F.col("o_custkey") % 11 != 0), segment).alias("vehicle_class"),
-        )
-        .distinct()
-    )
-
-
 UNPRICED = """unpriced AS (
     SELECT DISTINCT o_custkey AS tag, p_brand AS plaza,
            CASE WHEN c_mktsegment <> 'FURNITURE' OR o_custkey % 11 <> 0 THEN c_mktsegment END AS vehicle_class

@@ -363,17 +363,11 @@ def _sql_view(t):
         string_agg(DISTINCT to_entry_lane, '|' ORDER BY to_entry_lane) AS lanes FROM moves GROUP BY 1, 2""",
 )
 def _count_sum_set(t):
-    return (
-        b.moves(t)
-        .groupBy("from_plaza", "to_plaza", "to_entry_lane")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("hours").alias("hours"))
-        .groupBy("from_plaza", "to_plaza")
-        .agg(
-            F.sum("n").alias("n"),
-            F.sum("hours").alias("hours"),
-            F.array_join(F.array_sort(F.collect_set("to_entry_lane")), "|").alias("lanes"),
-        )
-    )
+    pair = ["from_plaza", "to_plaza"]
+    fine = b.moves(t).groupBy(*pair, "to_entry_lane").agg(F.count(F.lit(1)).alias("n"), F.sum("hours").alias("hours"))
+    sums = [F.sum("n").alias("n"), F.sum("hours").alias("hours")]
+    out = keyed.collected(fine, pair, F.col("to_entry_lane"), "lanes", sums)
+    return out.withColumn("lanes", F.array_join("lanes", "|"))
 
 
 @query(

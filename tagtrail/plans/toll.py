@@ -128,8 +128,9 @@ _MODAL = f"""WITH {b.AMOUNTS}, {b.UNPRICED}, priced AS (
 
 
 def _priced(t):
-    tables = [b.amounts(t, b.SHORT_UNTIL), b.amounts(t, b.LONG_UNTIL)]
-    return impute.impute_modal(b.unpriced(t), tables).select("vehicle_class", "plaza", "tag", "amount", "source")
+    lines = b.priced_lines(t)
+    priced = impute.impute_modal_windows(b.unpriced(lines), b.amounts_by_window(lines), frequencies=["short", "long"])
+    return priced.select("vehicle_class", "plaza", "tag", "amount", "source")
 
 
 @query("impute_modal_amount", _MODAL + " SELECT * FROM priced")
@@ -152,9 +153,10 @@ def _impute_remaining(t):
 def _impute_blank_class(t):
     """A blank class is no class: it has no modal amount, and its rows remain."""
     blank = F.when(F.col("vehicle_class") == "FURNITURE", "").otherwise(F.col("vehicle_class"))
-    table = b.amounts(t, b.SHORT_UNTIL).withColumn("vehicle_class", blank)
-    need = b.unpriced(t).withColumn("vehicle_class", blank)
-    return impute.impute_modal(need, [table]).select("tag", "plaza", "vehicle_class", "amount")
+    lines = b.priced_lines(t)
+    counted = b.amounts_by_window(lines).withColumn("vehicle_class", blank)
+    need = b.unpriced(lines).withColumn("vehicle_class", blank)
+    return impute.impute_modal_windows(need, counted, frequencies="short").select("tag", "plaza", "vehicle_class", "amount")
 
 
 @query(
@@ -164,8 +166,9 @@ def _impute_blank_class(t):
     FROM unpriced u JOIN short_modal s ON u.vehicle_class = s.vehicle_class AND u.plaza = s.plaza""",
 )
 def _impute_single(t):
+    lines = b.priced_lines(t)
     return (
-        impute.impute_modal(b.unpriced(t), [b.amounts(t, b.SHORT_UNTIL)])
+        impute.impute_modal_windows(b.unpriced(lines), b.amounts_by_window(lines), frequencies="short")
         .where(F.col("amount").isNotNull())
         .select("tag", "plaza", "vehicle_class", "amount")
     )

@@ -310,3 +310,31 @@ def test_extreme_item_is_the_last_in_tuple_order(spark, rows):
     df = spark.createDataFrame([(1, 5.0), (2, 1.0), (2, 2.0)], "item int, rating double")
     assert rows(summaries.extreme_item(df, "item", "rating")) == [(2, 1.5)]
     assert [tuple(r) for r in summaries.mean_rating(df, "item", "rating").collect()] == [(2, 1.5), (1, 5.0)]
+
+
+def test_windows_counted_together_equal_windows_one_by_one(spark, rows):
+    import random
+
+    rng = random.Random(9)
+    data = [(rng.choice(["c1", "c2", "", None]), rng.choice("pqr"), float(rng.randrange(4)), rng.randrange(3)) for _ in range(60)]
+    table = spark.createDataFrame(data, "vehicle_class string, plaza string, amount double, n int").groupBy("vehicle_class", "plaza", "amount").agg(
+        F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).alias("short"), F.sum("n").alias("long")
+    )
+    need = spark.createDataFrame([(c, p, f"{c}{p}") for c in ("c1", "c2", "c3", "", None) for p in "pq"], "vehicle_class string, plaza string, tag string")
+    each = [table.where(F.col(w) > 0).select("vehicle_class", "plaza", "amount", F.col(w).alias("frequency")) for w in ("short", "long")]
+    want = impute.impute_modal(need, each).select("vehicle_class", "plaza", "tag", "amount", "source")
+    got = impute.impute_modal_windows(need, table, frequencies=["short", "long"]).select("vehicle_class", "plaza", "tag", "amount", "source")
+    assert rows(got) == rows(want)
+
+
+def test_imputation_of_odd_keys(spark, rows):
+    txn = [("a", "KA01AB1234", "KA"), ("a", "KA01AB1234", None), ("b", "KA01AB1234", "KA"), ("b", "MH02CD5678", "MH"), ("c", "bad", "KA"),
+           ("c", None, "KA"), ("c", "bad", "MH"), ("d", "bad", None), ("e", "x", "A"), ("e", "x", "B"), ("e", "x", "C"), ("e", "x", "D"),
+           ("e", "x", "E"), (None, "KA01AB1234", "KA"), ("z", "KA01AB1234", "KA"), ("g", "bad", "ZZ")]
+    need = spark.createDataFrame([(k,) for k in "abcdefg"] + [(None,), ("a",)], "tag string")
+    codes = spark.createDataFrame([("29", "KA"), ("27", "MH"), ("28", "KA"), (None, "MH")], "code string, state string")
+    out = impute.impute_registration(need.where("tag IS NOT NULL"), spark.createDataFrame(txn, "tag string, registration string, state string"), codes, keep=F.lit(True))
+    assert rows(out) == [
+        ("a", "unique", "KA01AB1234"), ("b", "multi", "KA01AB1234"), ("b", "multi", "MH02CD5678"), ("c", "imputed", "2800"),
+        ("d", "remaining", None), ("e", "remaining", None), ("f", "remaining", None), ("g", "imputed", "default00"),
+    ]

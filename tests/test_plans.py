@@ -71,3 +71,17 @@ def test_presence_flags_need_one_shuffle(spark):
 def test_popular_items_do_not_shuffle_the_dimension(spark):
     text = plan(spark, "popular_items", **{"spark.sql.autoBroadcastJoinThreshold": "-1"})
     assert re.search(r"BroadcastHashJoin .*LeftSemi", text)
+
+
+def counted(text):
+    """Exchanges, those used again left out, and scans of a plan."""
+    return len(re.findall(r"(?<!Reused)Exchange ", text)), text.count("FileScan")
+
+
+@pytest.mark.parametrize(
+    ("name", "exchanges", "scans"),
+    [("impute_registration", 10, 5), ("impute_modal_amount", 11, 4), ("impute_modal_remaining", 11, 4), ("dominant_next_place", 8, 3)],
+)
+def test_shuffles_and_scans_stay_few(spark, name, exchanges, scans):
+    text = plan(spark, name, **{"spark.sql.autoBroadcastJoinThreshold": "-1"})
+    assert counted(text) <= (exchanges, scans) and counted(text)[1] <= scans

@@ -63,7 +63,7 @@ def test_flags_are_binary(spark):
 
 
 def test_imputed_and_remaining_make_up_the_need(spark, tables):
-    need = b.unpriced(tables).count()
+    need = b.unpriced(b.priced_lines(tables)).count()
     priced = contract.queries()["impute_modal_amount"](spark, SMALL)
     remaining = contract.queries()["impute_modal_remaining"](spark, SMALL).count()
     assert priced.count() == need

@@ -223,3 +223,77 @@ def test_skew_join_equals_a_plain_join_for_all_types(spark, rows, kind, other):
     assert keyed.skew_join(left, right, "k", "left_semi").count() == left.join(right, "k", "left_semi").count() > 0
     zero = spark.sql("SELECT -0.0D AS k"), spark.sql("SELECT 0 AS k")
     assert keyed.skew_join(*zero, "k").count() == 1
+
+
+def test_full_outer_join_splits_a_hot_key(spark, eager_skew_join):
+    from tagtrail.operators.relational import outer_filled
+
+    prices = spark.range(400, 600).union(spark.range(3)).select(F.col("id").cast("string").alias("plaza"), (F.col("id") + 1).alias("price"))
+    prices = prices.union(spark.sql("SELECT CAST(NULL AS STRING), 7L"))
+    rows_ = crowd(spark).select("plaza", "tag").union(spark.sql("SELECT CAST(NULL AS STRING), 'none'"))
+    out = outer_filled(rows_, prices, "plaza")
+    got = sorted((tuple(r) for r in out.select("plaza", "tag", "price").collect()), key=str)
+    out.collect()
+    assert "skew=true" in final_plan(out)
+    plain = rows_.join(prices, "plaza", "outer").na.fill(0).select("plaza", "tag", "price")
+    assert got == sorted(map(tuple, plain.collect()), key=str)
+    assert sum(r[1] is None for r in got) == 101
+
+
+def test_lists_are_bounded_and_name_their_group(spark):
+    from pyspark.errors import PySparkException
+
+    from tagtrail.operators.dominant import dominant_neighbour
+    from tagtrail.operators.relational import looked_up, nested_lookup_table
+
+    df = spark.createDataFrame([("big", i) for i in range(50)] + [("small", 2), ("small", 1), (None, 3)], "k string, v int")
+    got = {r.k: (r.v_list, r.n) for r in keyed.collected(df, "k", F.col("v"), "v_list", [F.count("v").alias("n")], 50).collect()}
+    assert got == {"big": (list(range(50)), 50), "small": ([1, 2], 2), None: ([3], 1)}
+    with pytest.raises(PySparkException, match="more than 49 values: k=big, size=50"):
+        keyed.collected(df, "k", F.col("v"), "v_list", limit=49).collect()
+
+    table = df.withColumn("w", F.col("v") * 2)
+    with pytest.raises(PySparkException, match="k=big"):
+        nested_lookup_table(table, "k", "v", "w", 10).collect()
+    asked = spark.createDataFrame([("big", 7), ("big", 99), ("small", 2), (None, 3), ("none", 1)], "k string, v int")
+    both = [looked_up(asked, table.union(table), "k", "v", "w", limit) for limit in (1000, 10)]
+    assert "MapFromEntries" in str(both[0]._jdf.queryExecution().optimizedPlan().toString()) or "map_from_entries" in str(both[0]._jdf.queryExecution())
+    results = [sorted(map(tuple, df_.select("k", "v", "w").collect()), key=str) for df_ in both]
+    assert results[0] == results[1] == sorted([("big", 7, 14), ("big", 99, None), ("small", 2, 4), (None, 3, None), ("none", 1, None)], key=str)
+
+    moves = spark.createDataFrame([("a", "b", f"l{i}", 1) for i in range(20)], "f string, t string, lane string, hours int")
+    assert dominant_neighbour(moves, "f", "t", joined="lane").head().lanes.count("|") == 19
+    with pytest.raises(PySparkException, match="f=a, t=b, size=20"):
+        dominant_neighbour(moves, "f", "t", joined="lane", limit=19).collect()
+
+
+@pytest.mark.parametrize("strength", [1, 3, 6])
+def test_bounded_similarity_equals_the_filtered_one(ratings, strength):
+    df, table = ratings
+    want = {p: v for p, v in brute_force(table).items() if v[1] >= strength and v[0] > 0.8}
+    out = similarity.item_similarity_above(df, 0.8, strength, chunk=7).collect()
+    assert {(r.item_1, r.item_2): (round(r.score, 9), r.strength) for r in out} == want and want
+
+
+def test_pairs_below_the_strength_are_not_formed(ratings):
+    df, table = ratings
+    every = brute_force(table)
+    pairs = {tuple(r) for r in similarity.candidate_pairs(df, 6).collect()}
+    strong = {p for p, v in every.items() if v[1] >= 6}
+    assert strong <= pairs and len(pairs) < 0.7 * len(every)
+
+
+@pytest.mark.parametrize("least", [0.3, 0.6])
+def test_cosine_join_equals_brute_force(ratings, least):
+    df, table = ratings
+    vectors: dict = {}
+    for (user, item), rating in table.items():
+        vectors.setdefault(item, {})[user] = rating
+    norm = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in vectors.items()}
+    want = {}
+    for a, b in itertools.combinations(sorted(vectors), 2):
+        dot = sum(x * vectors[b].get(u, 0.0) for u, x in vectors[a].items())
+        if norm[a] and norm[b] and dot / norm[a] / norm[b] >= least:
+            want[a, b] = round(dot / norm[a] / norm[b], 9)
+    got = {(r.item_1, r.item_2): round(r.score, 9) for r in similarity.cosine_join(df, least, chunk=9).collect()}
+    assert got == want and want
