@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tagtrail.functions.collections import appended
 from tagtrail.operators.keyed import count_by, lookup
 from tagtrail.operators.layout import reused
-from tagtrail.session import BucketedTable, materialize
+from tagtrail.session import BucketedTable, materialize, scratch_path
 
 NOBODY = "Nobody"
 PART_EDGES = 1_000_000
@@ -206,6 +206,73 @@ def expand_paths(
     return reduce(DataFrame.unionByName, done)
 
 
+class PathStates:
+    """All paths of :func:`expand_paths` as states (edges so far, vertex, total), each with the number of paths that meet in it.
+
+    Weights and budget are held in whole steps, by default minutes of hours, one at least. Paths that meet at one vertex with one total
+    after as many edges have the same future, so they go on as one row: never more than vertices times budget rows a round,
+    however many paths there are. The states and the edges are the table of predecessors: a state came over an edge from the
+    state of its start with the weight taken off. So paths are counted without being listed, and listed for chosen ends only.
+    """
+
+    def __init__(self, edges: DataFrame, seeds: Column, budget: float, weight: str = "weight", steps_per_unit: int = 60):
+        spark = edges.sparkSession
+        whole = F.greatest(F.lit(1), F.floor(F.col("weight") * F.lit(float(steps_per_unit)) + 0.5)).cast("long")
+        self.steps = materialize(_checked(edges, weight).select("src", "dst", whole.alias("weight")), "whole-edges")
+        self.limit = int(budget * steps_per_unit)
+        self.seeds = self.steps.where(seeds)
+        states = self.seeds.groupBy("dst", F.col("weight").alias("total")).agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n"))
+        states = states.select(F.lit(0).alias("hop"), "dst", "total", "n")
+        paths = []
+        step = self.steps.select(F.col("src").alias("_at"), F.col("dst").alias("_to"), F.col("weight").alias("_w"))
+        for hop in count():
+            path = scratch_path(spark, f"states-{hop}")
+            states.write.parquet(path)
+            paths.append(path)
+            held = spark.read.schema(states.schema).parquet(path)
+            active = held if hop == 0 else held.where(F.col("total") <= self.limit)
+            if active.isEmpty():
+                break
+            met = active.join(step, F.col("dst") == F.col("_at"))
+            grown = met.groupBy(F.col("_to").alias("dst"), (F.col("total") + F.col("_w")).alias("total"))
+            states = grown.agg(F.sum("n").cast("decimal(38,0)").alias("n")).select(F.lit(hop + 1).alias("hop"), "dst", "total", "n")
+        # one scan over the rounds, however many
+        self.states = spark.read.schema(states.schema).parquet(*paths)
+
+    def finished(self) -> DataFrame:
+        """The states in which paths end: beyond the budget, seeds themselves not tested."""
+        return self.states.where((F.col("hop") > 0) & (F.col("total") > self.limit))
+
+    def counts(self) -> DataFrame:
+        """(dst, n_paths): how many paths end at each vertex."""
+        return self.finished().groupBy("dst").agg(F.sum("n").alias("n_paths"))
+
+    def to(self, ends: DataFrame) -> DataFrame:
+        """(src, dst, path, total in steps) of the paths that end at the vertices ``ends`` (dst), found from their ends."""
+        goal = self.finished().join(ends.select("dst").distinct(), "dst", "left_semi")
+        open_ = goal.select("hop", F.col("dst").alias("at"), F.col("total").alias("left"), "dst", "total", F.array("dst").alias("path"))
+        through = self.states.where((F.col("hop") == 0) | (F.col("total") <= self.limit)).select(
+            F.col("hop").alias("_hop"), F.col("dst").alias("_from"), F.col("total").alias("_left")
+        )
+        done: list[DataFrame] = []
+        while True:
+            back = open_.join(self.steps.select("src", F.col("dst").alias("_dst"), F.col("weight").alias("_w")), F.col("at") == F.col("_dst"))
+            before = (F.col("hop") - 1 == F.col("_hop")) & (F.col("src") == F.col("_from")) & (F.col("left") - F.col("_w") == F.col("_left"))
+            kept = back.join(through, before).select(
+                F.col("_hop").alias("hop"), F.col("_from").alias("at"), F.col("_left").alias("left"), "dst", "total",
+                F.concat(F.array("_from"), "path").alias("path"),
+            )
+            kept = materialize(kept, "ways-back")
+            first = kept.where("hop = 0").join(
+                self.seeds.select("src", F.col("dst").alias("_dst"), F.col("weight").alias("_w")),
+                (F.col("at") == F.col("_dst")) & (F.col("left") == F.col("_w")),
+            )
+            done.append(first.select("src", "dst", F.concat(F.array("src"), "path").alias("path"), "total"))
+            open_ = kept.where("hop > 0")
+            if open_.isEmpty():
+                return reduce(DataFrame.unionByName, done)
+
+
 def reached_ends(
     edges: DataFrame, seeds: Column, budget: float, weight: str = "weight", steps_per_unit: int = 60
 ) -> DataFrame:

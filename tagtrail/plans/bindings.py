@@ -281,11 +281,33 @@ PAIR_SCORES = (
     FROM ratings a JOIN ratings b ON a.user_id = b.user_id AND a.item < b.item GROUP BY 1, 2)"""
 )
 
-# The score and strength a similar item must exceed on these tables.
-MIN_SCORE, MIN_STRENGTH = 0.8, 5
-TARGET_ITEM = 12
-# Fixed value: a support that about half of all pairs reach at the tested scale.
-SUPPORT = 170
+# The score a similar item must exceed, and the item whose partners are looked for.
+MIN_SCORE, TARGET_ITEM = 0.8, 7
+
+
+def mean_strength(rated: DataFrame) -> int:
+    """The mean number of common users of two items, rounded down, 1 at least: known from the users' counts, without any pair.
+
+    About half of all pairs reach it at any scale, so it serves as the support of the queries.
+    """
+    per_user = rated.groupBy("user").agg(F.count(F.lit(1)).alias("k"))
+    products = per_user.agg(F.sum(F.col("k") * (F.col("k") - 1))).head()[0] or 0
+    items = rated.select("item").distinct().count()
+    return max(1, products // max(1, items * (items - 1)))
+
+
+def likely_cosine(rated: DataFrame) -> float:
+    """A cosine that a part of all pairs of items reaches at any scale: the mean strength over the mean number of raters, less a tenth."""
+    items, n = rated.agg(F.countDistinct("item"), F.count(F.lit(1))).head()
+    products = rated.groupBy("user").agg(F.count(F.lit(1)).alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1))).head()[0] or 0
+    return max(0.01, 0.9 * products / max(1, (items - 1) * n))
+
+
+LIKELY_COSINE = """(SELECT greatest(0.01, 0.9::DOUBLE * (SELECT sum(k * (k - 1)) FROM (SELECT count(*) AS k FROM ratings GROUP BY user_id))
+        / (SELECT greatest(1, (count(DISTINCT item) - 1) * count(*)) FROM ratings)))"""
+
+SUPPORT = """(SELECT greatest(1, (SELECT sum(k * (k - 1)) FROM (SELECT count(*) AS k FROM ratings GROUP BY user_id))
+        // (SELECT count(DISTINCT item) * (count(DISTINCT item) - 1) FROM ratings)))"""
 
 
 def supply_edges(t: Tables) -> DataFrame:

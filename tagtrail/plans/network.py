@@ -105,6 +105,36 @@ def _expand_first(t):
     return _paths(t, True)
 
 
+_WHOLE_WALK = f"""WITH RECURSIVE {b.MOVE_EDGES}, whole AS (
+        SELECT src, dst, greatest(1, CAST(floor(weight * 60.0::DOUBLE + 0.5) AS BIGINT)) AS w FROM move_edges),
+    walk AS (
+        SELECT src, dst, [src, dst] AS path, w AS total, 0 AS hop FROM whole WHERE src = '{b.PLACE}'
+        UNION ALL
+        SELECT k.src, e.dst, list_append(k.path, e.dst), k.total + e.w, hop + 1
+        FROM walk k JOIN whole e ON k.dst = e.src WHERE hop = 0 OR k.total <= {int(BUDGET * 60)}),
+    done AS (SELECT * FROM walk WHERE hop > 0 AND total > {int(BUDGET * 60)})"""
+
+
+def _states(t):
+    return graph.PathStates(b.move_edges(t), F.col("src") == b.PLACE, BUDGET)
+
+
+@query("count_paths", f"{_WHOLE_WALK} SELECT dst, count(*) AS n_paths FROM done GROUP BY 1")
+def _count_paths(t):
+    return _states(t).counts().withColumn("n_paths", F.col("n_paths").cast("long"))
+
+
+@query(
+    "paths_to_end",
+    f"""{_WHOLE_WALK} SELECT src, dst, array_to_string(path, '>') AS path, total FROM done
+    WHERE dst = (SELECT min(dst) FROM done)""",
+)
+def _paths_to_end(t):
+    states = _states(t)
+    ends = states.finished().agg(F.min("dst").alias("dst"))
+    return states.to(ends).withColumn("path", F.array_join("path", ">"))
+
+
 @query(
     "seed_paths_by_prefix",
     f"""WITH {b.MOVE_EDGES} SELECT src, dst, src || '>' || dst AS path, weight AS total

@@ -46,6 +46,46 @@ def test_ends_without_paths(toy):
     assert sorted(r.dst for r in out.collect()) == ["c", "d", "e", "f"]
 
 
+def test_states_count_and_list_the_same_paths(spark, toy):
+    states = graph.PathStates(toy, F.col("src") == "a", 200, steps_per_unit=1)
+    paths = graph.expand_paths(toy, F.col("src") == "a", 200).collect()
+    want = {}
+    for p in paths:
+        want[p.dst] = want.get(p.dst, 0) + 1
+    assert {r.dst: int(r.n_paths) for r in states.counts().collect()} == want
+    for end in ("d", "f"):
+        got = states.to(spark.createDataFrame([(end,)], "dst string"))
+        assert shown(got) == sorted((p.dst, " ".join(p.path), int(p.total)) for p in paths if p.dst == end)
+    assert states.to(spark.createDataFrame([("q",)], "dst string")).collect() == []
+
+
+def test_states_count_what_cannot_be_listed(spark):
+    pick = random.Random(6)
+    edges = [(pick.choice("abcd"), pick.choice("abcd"), float(pick.randrange(1, 3))) for _ in range(16)]
+    df = spark.createDataFrame(edges, "src string, dst string, weight double")
+    states = graph.PathStates(df, F.col("src") == "a", 14, steps_per_unit=1)
+    ways: dict = {}
+    for s, d, w in edges:
+        if s == "a":
+            ways[d, int(w)] = ways.get((d, int(w)), 0) + 1
+    ends: dict = {}
+    first = True
+    while ways:
+        nxt: dict = {}
+        for (at, total), n in ways.items():
+            if first or total <= 14:
+                for s, d, w in edges:
+                    if s == at:
+                        nxt[d, total + int(w)] = nxt.get((d, total + int(w)), 0) + n
+        first = False
+        for (d, total), n in nxt.items():
+            if total > 14:
+                ends[d] = ends.get(d, 0) + n
+        ways = {k: n for k, n in nxt.items() if k[1] <= 14}
+    assert {r.dst: int(r.n_paths) for r in states.counts().collect()} == ends and sum(ends.values()) > 10_000
+    assert states.states.groupBy("hop").count().agg(F.max("count")).head()[0] <= 4 * 16
+
+
 def test_cycle_goes_on_until_the_budget_is_spent(spark):
     loop = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, weight double")
     assert [(d, t) for d, _, t in shown(graph.expand_paths(loop, F.col("src") == "a", 10))] == [("b", 11.0)]
