@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as contract  # noqa: E402
 from check import TABLES, compare  # noqa: E402
 from tagtrail.operators import dominant, keyed  # noqa: E402
-from tagtrail.plans import bindings as b  # noqa: E402
+from tagtrail.plans import bindings as b, catalog  # noqa: E402
 from tagtrail.sources.tables import Tables  # noqa: E402
 
 
