@@ -11,10 +11,12 @@ Myers' bit-parallel distance with that bound, so chance hits end after one short
 occurrence is lost.
 
 Items are read in blocks of at most ``block_chars`` characters, so that the automaton
-sent to tasks has a bounded size; each block is one pass over the texts.
+sent to tasks has a bounded size; each block is one pass over the texts, and its matches are written before the block after the next is
+read, so the driver never holds more than two blocks.
 
-Defined cases: null or empty texts match nothing. Items that are null or have
-fewer than ``least`` normal characters say nothing about a leak and are not searched. Equal items are
+Defined cases: null or empty texts match nothing, neither do items that are null or have no letter or digit. An item of
+fewer than ``least`` normal characters must occur without edits and as whole words; scripts without spaces, from U+2E80 on, have a word
+end after each character. Equal items are
 all reported. An item that occurs several times in a text gives one row: the fewest edits, then
 the first place. Repeated rows give rows of their own. Only the named columns are read. An
 empty table gives an empty result.
@@ -32,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagtrail.llm.batches import DIGIT, LETTER, flags, lowered, packed
+from tagtrail.session import materialize
 
 RATE = 0.1
 LEAST = 24
 BLOCK_CHARS = 4_000_000
 STEP_CHARS = 1 << 20
+_NO_SPACES = "\u2e80"
 
 
 def normal(text: str | None) -> tuple[str, np.ndarray]:
@@ -95,6 +99,13 @@ class Item:
     item_id: int
     text: str
     cuts: tuple[int, ...]
+    short: bool = False
+
+    def stands(self, text: str, start: int) -> bool:
+        """Whether a short item at ``start`` of a text begins and ends with a word; longer items may stand anywhere."""
+        end = start + len(self.text)
+        free = lambda edge, at: edge >= _NO_SPACES or not 0 <= at < len(text) or text[at] == " "
+        return not self.short or (free(self.text[0], start - 1) and free(self.text[-1], end))
 
 
 class Matcher:
@@ -140,7 +151,7 @@ class Matcher:
                     continue  # places come in order: no later one is better
                 item = self.items[n]
                 zero = last + 1 - size - item.cuts[p]  # where the item would start without edits
-                if self._rejected(item, p, zero, text):
+                if not item.stands(text, zero) or self._rejected(item, p, zero, text):
                     continue
                 edits, start, end = self._verified(n, p, zero, text)
                 if edits >= 0 and (n not in best or (edits, start) < best[n][:2]):
@@ -203,22 +214,23 @@ def _matched(items: list[Item]):
     return run
 
 
-def item_of(item_id: int, text: str, rate: float) -> Item:
-    """An item cut into one piece more than the edits allowed."""
+def item_of(item_id: int, text: str, rate: float, least: int) -> Item:
+    """An item cut into one piece more than the edits allowed; a short one is whole."""
     small, _ = normal(text)
-    pieces = int(rate * len(small)) + 1
-    return Item(item_id, small, tuple(len(small) * i // pieces for i in range(pieces + 1)))
+    short = len(small) < least
+    pieces = 1 if short else int(rate * len(small)) + 1
+    return Item(item_id, small, tuple(len(small) * i // pieces for i in range(pieces + 1)), short)
 
 
 def item_blocks(
     benchmark: DataFrame, item_column: str, text_column: str, rate: float, least: int, block_chars: int
 ) -> Iterator[list[Item]]:
-    """Items in blocks of a bounded number of characters; only one block is held at a time."""
+    """Items in blocks of a bounded number of characters."""
     rows = benchmark.select(F.col(item_column).cast("long").alias("item"), F.col(text_column).alias("text"))
     block, held = [], 0
     for row in rows.where("item IS NOT NULL AND text IS NOT NULL").toLocalIterator():
-        item = item_of(row.item, row.text, rate)
-        if len(item.text) < least:
+        item = item_of(row.item, row.text, rate, least)
+        if not item.text:
             continue
         if held and held + len(item.text) > block_chars:
             yield block
@@ -245,9 +257,15 @@ def benchmark_matches(
     kind = taken.schema["id"].dataType.simpleString()
     schema = f"id {kind}, item_id long, edits int, start long, end long"
     out = None
-    for block in item_blocks(benchmark, item_column, item_text_column, rate, least, block_chars):
+    blocks = item_blocks(benchmark, item_column, item_text_column, rate, least, block_chars)
+    block = next(blocks, None)
+    while block is not None:
+        following = next(blocks, None)
         found = taken.mapInArrow(_matched(block), schema)
+        if out is not None or following is not None:
+            found = materialize(found, "matches")
         out = found if out is None else out.unionByName(found)
+        block = following
     if out is None:
         out = taken.limit(0).mapInArrow(_matched([]), schema)
     return out.withColumnRenamed("id", id_column)

@@ -149,7 +149,7 @@ def test_benchmark_matches_equal_brute_force(spark):
     rng = random.Random(8)
     letters = "abcdefgh ij"
     items = [(k, "".join(rng.choice(letters) for _ in range(rng.randrange(40, 120)))) for k in range(6)]
-    items += [(6, items[0][1]), (7, "short"), (8, None), (9, "")]
+    items += [(6, items[0][1]), (7, "short"), (8, None), (9, ""), (10, "x"), (11, "ab cd"), (12, "?!")]
     docs = []
     for k in range(60):
         text = list(items[k % 6][1])
@@ -168,13 +168,23 @@ def test_benchmark_matches_equal_brute_force(spark):
         whole = normal(text)[0][-3000:]
         for n, item in items:
             small = normal(item)[0]
-            if len(small) >= 24 and whole:
+            if len(small) < 24:
+                if small and f" {small} " in f" {normal(text)[0]} ":
+                    want.append((-1 if i is None else i, n, 0))
+            elif whole:
                 edits = distance_within(small, whole)
                 if edits <= int(0.1 * len(small)):
                     want.append((-1 if i is None else i, n, edits))
     assert got == sorted(want) and len(got) > 30
 
 
+def test_short_items_stand_as_whole_words(spark):
+    docs = [(1, "So: who wrote HAMLET? Nobody."), (2, "who wrote hamlets"), (3, "xwho wrote hamlet"), (4, "他们问谁写了红楼梦呢"), (5, "who wrote; hamlet")]
+    items = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "谁写了红楼梦?"), (3, "---")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.edits) for r in benchmark_matches(frame(spark, docs), items).collect())
+    assert got == [(1, 1, 0), (4, 2, 0), (5, 1, 0)]
+
+
 def test_benchmark_spans_point_into_the_text(spark):
     docs = [(1, "Before -- The QUICK brown fox, jumps over: a lazy dog today. After")]
     items = spark.createDataFrame([(3, "the quick brown fox jumps over a lazy dog today")], "item_id long, text string")
