@@ -7,11 +7,13 @@ and not on the number of rows.
 
 from __future__ import annotations
 
+import ctypes
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 #: Characters of one run of texts.
 RUN_CHARS = 1 << 20
@@ -22,6 +24,21 @@ LETTER, DIGIT, SPACE, UPPER, MARK = 1, 2, 4, 8, 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 
 
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A function of batches that gives freed memory back to the system when its task ends: the worker lives on for other tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def slices(texts: list[str | None], limit: int = RUN_CHARS) -> Iterator[tuple[int, int]]:
     """Bounds of consecutive runs of at most ``limit`` characters, or of one longer text."""
     start, held = 0, 0

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagtrail.llm.batches import DIGIT, LETTER, MARK, SPACE, STEP, UPPER, flags, grams, packed, slices, space_words, spans
+from tagtrail.llm.batches import DIGIT, LETTER, MARK, SPACE, STEP, UPPER, flags, giving_back, grams, packed, slices, space_words, spans
 from tagtrail.session import materialize
 
 STATISTICS = (
@@ -138,7 +138,7 @@ def measured(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """(id, statistics) of every row, written to the shared folder so that texts are read once."""
     taken = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = taken.schema["id"].dataType.simpleString()
-    return materialize(taken.mapInArrow(_measured, f"id {kind}, statistics array<double>"), "statistics")
+    return materialize(taken.mapInArrow(giving_back(_measured), f"id {kind}, statistics array<double>"), "statistics")
 
 
 @dataclass(frozen=True)
@@ -245,4 +245,4 @@ def quality(statistics: DataFrame, model: QualityModel, id_column: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["id", "score"])
 
     kind = statistics.schema["id"].dataType.simpleString()
-    return statistics.mapInArrow(scored, f"id {kind}, score double").withColumnRenamed("id", id_column)
+    return statistics.mapInArrow(giving_back(scored), f"id {kind}, score double").withColumnRenamed("id", id_column)

@@ -39,7 +39,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagtrail.llm.batches import Rolling, mixed, packed, slices
+from tagtrail.llm.batches import Rolling, giving_back, mixed, packed, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
@@ -465,7 +465,7 @@ def segmentations(
         F.col(text_column).alias("text"),
     )
     kind = taken.schema["id"].dataType.simpleString()
-    return taken.mapInArrow(run, f"id {kind}, text_key long, {_COLUMNS}").withColumnRenamed("id", id_column)
+    return taken.mapInArrow(giving_back(run), f"id {kind}, text_key long, {_COLUMNS}").withColumnRenamed("id", id_column)
 
 
 class Spelling:
@@ -518,4 +518,4 @@ def decoded(frame: DataFrame, vocabulary: Vocabulary, ids_column: str = "ids", n
                 lo = hi
 
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
-    return frame.mapInArrow(run, f"{columns}, {name} string")
+    return frame.mapInArrow(giving_back(run), f"{columns}, {name} string")

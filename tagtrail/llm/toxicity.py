@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagtrail.llm.batches import grams, plain_words, slices
+from tagtrail.llm.batches import giving_back, grams, plain_words, slices
 from tagtrail.llm.sampling import in_order, labelled_sample
 
 BITS = 20
@@ -124,7 +124,7 @@ def fit_toxicity(
     """Weights from labelled rows for which ``usable``, a condition on the label table, holds: ``sample`` rows
     and ``sample_chars`` characters at most, learned from in the order of a hash."""
     chosen = labelled_sample(docs, labels, usable, id_column, text_column, label_column, sample, sample_chars, 1 << bits)
-    rows = chosen.mapInArrow(_features(bits), "label double, place long, buckets array<int>").toArrow()
+    rows = chosen.mapInArrow(giving_back(_features(bits)), "label double, place long, buckets array<int>").toArrow()
     order, (found,) = in_order(rows, ["buckets"])
     return ftrl(found, rows.column("label").to_numpy()[order], bits)
 
@@ -154,4 +154,4 @@ def toxicity(docs: DataFrame, weights: Weights, id_column: str = "doc_id", text_
     """(id, score) of every row; the score is between 0 and 1."""
     taken = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = taken.schema["id"].dataType.simpleString()
-    return taken.mapInArrow(_scored(weights), f"id {kind}, score double").withColumnRenamed("id", id_column)
+    return taken.mapInArrow(giving_back(_scored(weights)), f"id {kind}, score double").withColumnRenamed("id", id_column)
