@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagtrail.llm.batches import DIGIT, LETTER, flags, lowered, packed
+from tagtrail.llm.batches import DIGIT, LETTER, flags, giving_back, lowered, packed
 from tagtrail.session import materialize
 
 RATE = 0.1
@@ -261,11 +261,11 @@ def benchmark_matches(
     block = next(blocks, None)
     while block is not None:
         following = next(blocks, None)
-        found = taken.mapInArrow(_matched(block), schema)
+        found = taken.mapInArrow(giving_back(_matched(block)), schema)
         if out is not None or following is not None:
             found = materialize(found, "matches")
         out = found if out is None else out.unionByName(found)
         block = following
     if out is None:
-        out = taken.limit(0).mapInArrow(_matched([]), schema)
+        out = taken.limit(0).mapInArrow(giving_back(_matched([])), schema)
     return out.withColumnRenamed("id", id_column)

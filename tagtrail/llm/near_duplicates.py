@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagtrail.llm.batches import grams, mixed, slices, space_words, spans
+from tagtrail.llm.batches import giving_back, grams, mixed, slices, space_words, spans
 from tagtrail.llm.components import connected
 from tagtrail.session import materialize
 
@@ -186,7 +186,7 @@ def _confirmed(pairs: DataFrame, outlines: DataFrame, texts: DataFrame, width: i
     able = pairs.join(_sided(outlines, "a"), "a").join(_sided(outlines, "b"), "b").where(_possible(percent))
     able = materialize(able.select("a", "b"), "able")
     named = able.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = _sent(texts, named, "id", "left_semi").mapInArrow(_full_sets(width), "id long, items array<long>")
+    sets = _sent(texts, named, "id", "left_semi").mapInArrow(giving_back(_full_sets(width)), "id long, items array<long>")
     sets = materialize(sets, "full-sets")
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("of_a"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("of_b"))
@@ -232,7 +232,7 @@ def near_duplicates(
     # the mark tells apart the texts of one id
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).withColumn("mark", F.xxhash64("text"))
     schema = "id long, mark long, n long, digest binary, bands array<long>, bits array<long>"
-    found = materialize(texts.mapInArrow(_sketched(width, bands, rows), schema), "sketches")
+    found = materialize(texts.mapInArrow(giving_back(_sketched(width, bands, rows)), schema), "sketches")
     filled = found.where("id IS NOT NULL AND n > 0")
     nodes = filled.groupBy("digest", "n").agg(F.min(F.struct("id", "mark")).alias("of"))
     nodes = materialize(nodes.select("digest", "n", "of.id", "of.mark", F.monotonically_increasing_id().alias("node")), "sets")
