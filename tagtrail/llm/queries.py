@@ -18,7 +18,7 @@ from tagtrail.llm.periodic_runs import periodic_runs, strongest
 from tagtrail.llm.quality import fit_quality, measured, quality
 from tagtrail.llm.quality_rules import fit_rules, quality_rules
 from tagtrail.llm.sampling import remainder
-from tagtrail.llm.segmentation import decoded, load_vocabulary, segmentations
+from tagtrail.llm.segmentation import load_vocabulary, segmentations
 from tagtrail.llm.toxicity import fit_toxicity, toxicity
 from tagtrail.llm.url_filters import judge_urls, split_url
 
@@ -178,11 +178,11 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_digests(docs: DataFrame) -> DataFrame:
     """A row per document and sampled segmentation: how long, how likely, its ids as one hash, and whether it spells the text."""
-    vocabulary = load_vocabulary(docs.sparkSession)
-    ways = segmentations(docs, vocabulary)
-    ways = ways.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("ids_hash", F.xxhash64("ids"))
-    spelled = decoded(ways, vocabulary).withColumn("exact", F.xxhash64("decoded") == F.col("text_key"))
-    return spelled.select("doc_id", "rank", "n_tokens", "ids_hash", "log_prob", "perturbed", "inclusion", "exact")
+    ways = segmentations(docs, load_vocabulary(docs.sparkSession), spell=True)
+    return ways.select(
+        "doc_id", "rank", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "perturbed",
+        "inclusion", (F.xxhash64("decoded") == F.col("text_key")).alias("exact"),
+    )
 
 
 @_query("op9_segmentations")

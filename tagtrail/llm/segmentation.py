@@ -438,13 +438,21 @@ def _finished(lattice: Lattice, vocabulary: Vocabulary, path: _Path, value: floa
 
 
 def segmentations(
-    docs: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_id", text_column: str = "text", k: int = SAMPLES
+    docs: DataFrame,
+    vocabulary: Vocabulary,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    k: int = SAMPLES,
+    spell: bool = False,
 ) -> DataFrame:
-    """(id, text_key, rank, ids, log_prob, perturbed, inclusion): ``k`` rows per row, ``text_key`` the xxhash64 of the text."""
+    """(id, text_key, rank, ids, log_prob, perturbed, inclusion): ``k`` rows per row, ``text_key`` the xxhash64 of the text.
+
+    With ``spell`` the ids are decoded in the same task and a column ``decoded`` is added, as :func:`decoded` would.
+    """
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words(held.value)
+        known, spelling = Words(held.value), Spelling(held.value)
         for batch in batches:
             texts = batch.column(3).to_pylist()
             seeds = np.asarray(batch.column(2)).view(np.uint64)
@@ -453,11 +461,12 @@ def segmentations(
                 rows = [(lo + i, rank, *x) for i, ways in enumerate(drawn) for rank, x in enumerate(ways, 1)]
                 at, rank, ids, log_prob, value, inclusion = zip(*rows, strict=True)
                 ends = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
-                at = pa.array(at, pa.int64())
+                at, flat = pa.array(at, pa.int64()), np.concatenate(ids)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(at), batch.column(1).take(at), pa.array(rank, pa.int32()),
-                     pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids))), pa.array(log_prob), pa.array(value), pa.array(inclusion)],
-                    ["id", "text_key", "rank", "ids", "log_prob", "perturbed", "inclusion"],
+                     pa.ListArray.from_arrays(ends, pa.array(flat)), pa.array(log_prob), pa.array(value), pa.array(inclusion),
+                     *([spelling.texts(flat, ends)] if spell else [])],
+                    ["id", "text_key", "rank", "ids", "log_prob", "perturbed", "inclusion", *(["decoded"] if spell else [])],
                 )
 
     taken = docs.select(
@@ -465,7 +474,7 @@ def segmentations(
         F.col(text_column).alias("text"),
     )
     kind = taken.schema["id"].dataType.simpleString()
-    return taken.mapInArrow(giving_back(run), f"id {kind}, text_key long, {_COLUMNS}").withColumnRenamed("id", id_column)
+    return taken.mapInArrow(giving_back(run), f"id {kind}, text_key long, {_COLUMNS}{', decoded string' if spell else ''}").withColumnRenamed("id", id_column)
 
 
 class Spelling:
