@@ -176,9 +176,9 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(vectors, F.col("vec_id") % 50 == 0)
 
 
-def token_digests(docs: DataFrame) -> DataFrame:
+def token_digests(docs: DataFrame, **bounds: int) -> DataFrame:
     """A row per document and sampled segmentation: how long, how likely, its ids as one hash, and whether it spells the text."""
-    ways = segmentations(docs, load_vocabulary(docs.sparkSession), spell=True)
+    ways = segmentations(docs, load_vocabulary(docs.sparkSession), spell=True, **bounds)
     return ways.select(
         "doc_id", "rank", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "perturbed",
         "inclusion", (F.xxhash64("decoded") == F.col("text_key")).alias("exact"),

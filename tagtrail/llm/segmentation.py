@@ -222,17 +222,17 @@ class Lattice:
 
 
 class Words:
-    """The lattices of the words that a task has met, each built once; begun anew beyond ``KEPT_EDGES`` edges."""
+    """The lattices of the words that a task has met, each built once; begun anew beyond ``kept`` edges."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: Vocabulary, kept: int = KEPT_EDGES):
+        self.vocabulary, self.kept = vocabulary, kept
         self.lattice: Lattice | None = None
         self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def numbered(self, codes: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number of each of the words ``codes[first:ends]`` in the lattice, which then holds them all."""
         keys, pick, kind = np.unique(mixed(Rolling(codes).of(first, ends)), return_index=True, return_inverse=True)
-        if self.lattice is None or len(self.lattice.ids) > KEPT_EDGES:
+        if self.lattice is None or len(self.lattice.ids) > self.kept:
             self.lattice = None
             self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
@@ -444,19 +444,22 @@ def segmentations(
     text_column: str = "text",
     k: int = SAMPLES,
     spell: bool = False,
+    run_chars: int = RUN_CHARS,
+    kept_edges: int = KEPT_EDGES,
 ) -> DataFrame:
     """(id, text_key, rank, ids, log_prob, perturbed, inclusion): ``k`` rows per row, ``text_key`` the xxhash64 of the text.
 
     With ``spell`` the ids are decoded in the same task and a column ``decoded`` is added, as :func:`decoded` would.
+    ``run_chars`` and ``kept_edges`` trade memory of a task for time; the result does not depend on them.
     """
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, spelling = Words(held.value), Spelling(held.value)
+        known, spelling = Words(held.value, kept_edges), Spelling(held.value)
         for batch in batches:
             texts = batch.column(3).to_pylist()
             seeds = np.asarray(batch.column(2)).view(np.uint64)
-            for lo, hi in slices(texts, RUN_CHARS):
+            for lo, hi in slices(texts, run_chars):
                 drawn = sample(texts[lo:hi], seeds[lo:hi], held.value, k, known)
                 rows = [(lo + i, rank, *x) for i, ways in enumerate(drawn) for rank, x in enumerate(ways, 1)]
                 at, rank, ids, log_prob, value, inclusion = zip(*rows, strict=True)
