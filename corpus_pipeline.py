@@ -111,7 +111,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def sample_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of each document, with their ids as one hash and a check of the round trip."""
     _in_small_batches(spark)
-    return token_digests(docs)
+    return token_digests(docs, run_chars=1 << 17, kept_edges=1 << 20)  # less memory beside the other stages' workers
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
