@@ -8,6 +8,7 @@ import io
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -185,6 +186,53 @@ def test_copies_and_shared_lines_are_no_template(spark):
         assert got[100 + k] == got[200 + k] == f"Title {k}\nLead\nOwn {k}" and got[300 + k] == f"Title {k}\nOwn {k}"
 
 
+@pytest.mark.parametrize("hosts", [{"ten.example": 10, "forty.example": 40, "many.example": 300}])
+def test_subtree_counts_alone_find_the_text(spark, hosts):
+    """Pages without article, main or a telling name, whose boxes stand before, after and between their own blocks."""
+    rows, want = [], {}
+    for host, size in hosts.items():
+        box = f"<div><table><tr><td>Top of {host}<td>Prices</table></div>"
+        for k in range(size):
+            key = len(rows)
+            own = [f"Title {key}", f"First part of text {key}, " + "some words " * 10 + "end", f"Second part of text {key}"]
+            rows.append((key, f"https://{host}/{k}", f"<body>{box}<div><div><h1>{own[0]}</h1><p>{own[1]}</p>"
+                         f"<div>Stay in touch, {host}</div><p>{own[2]}</p></div></div><div><div>Made by {host}</div><p>Turn page</p></div>"))
+            want[key] = "\n".join(own)
+    small = len(rows)  # nine pages are too few for a site
+    rows += [(small + k, "https://nine.example/", f"<div>Box</div><p>Text {k}</p>") for k in range(9)]
+    want |= {small + k: f"Box\nText {k}" for k in range(9)}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = {r.page_id: r for r in main_text(pages).collect()}
+    assert {k: r.text for k, r in got.items()} == want
+    assert all(r.shown_chars == 0 and (r.site_chars > 0) == (r.page_id < small) for r in got.values())
+
+
+def test_templates_inside_articles_go_by_their_links_and_versions_stay(spark):
+    more = "<div><ul><li><a href=1>Read this too</a><li><a href=2>And this</a></ul></div>"
+    rows = [(k, "http://a.example/", f"<article><h1>Title {k}</h1><p>Words of number {k} and some more of them</p>{more}<p>Licence</p></article>") for k in range(12)]
+    rows += [(20 + k, "http://b.example/", "<div>" + "".join(f"<p>Paragraph {i} of the text, {'version ' + str(k) if i == 3 else 'as ever'}</p>" for i in range(20)) + "</div>") for k in range(12)]
+    rows += [(40 + k, "http://c.example/", f"<main>{more}<p>{k}</p></main>") for k in range(12)]
+    rows += [(60 + k, "http://d.example/", f"<aside>Beside</aside><aside>{k}</aside><p>Text {k}</p>") for k in range(12)]
+    got = {r.page_id: r for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(12):
+        assert got[k].text == f"Title {k}\nWords of number {k} and some more of them\nLicence" and got[k].site_chars == 21
+        assert len(got[20 + k].text.split("\n")) == 20 and got[20 + k].site_chars == 0
+        assert got[40 + k].text == f"Read this too\nAnd this\n{k}"
+        assert (got[60 + k].text, got[60 + k].site_chars, got[60 + k].shown_chars) == (f"Text {k}", 6, len(str(k)))
+
+
+@pytest.mark.parametrize(
+    "unit",
+    ["<script ", "<a ", "<a b='", "</x", "<div>", '<a b=">"', "<p><button><i>", "<li>x", "<td><table>", "<!--", "<?", "<p>x", "&am", "<b>x", "<div>x"],
+)
+def test_odd_pages_take_time_in_proportion(unit):
+    """A page of a megabyte is read in seconds; with quadratic work it would take hours."""
+    for source in (unit * (1_000_000 // len(unit)), unit * (1_000_000 // len(unit)) + "'\">"):
+        began = time.process_time()
+        Page(source).text()
+        assert time.process_time() - began < 10
+
+
 @pytest.mark.parametrize(
     ("source", "want"),
     [
@@ -196,6 +244,15 @@ def test_copies_and_shared_lines_are_no_template(spark):
         ("<p>open <a href='x\">never closed", "open <a href='x\">never closed"),
         ("<style>p{}</style><p>k</p><script>", "k"),
         ("a < b and c", "a < b and c"),
+        ("<p>a <math><mi>x</mi></math> b <label>c</label><svg><text>d</text></svg>", "a x b cd"),
+        ("<article><section class=promotion><p>a</p></section><audio>b</audio><object>c</object><xmp>d</xmp></article>", "a\nbc\nd"),
+        ("<p title=it's>a</p><p>b's</p>", "a\nb's"),
+        ("<p>a <a b='>c</p><p>d</p>", "a <a b='>c\nd"),
+        ("<p>a <a b='>c</p><p title='>'>d", "a '>d"),
+        ("<p>a <a b='>c</p><p title=x>d", "a <a b='>c\nd"),
+        ("a <!-- b", "a"),
+        ("a <!-- b > c", "a"),
+        ("a <1> b <", "a <1> b <"),
     ],
 )
 def test_blocks(source, want):
