@@ -3,7 +3,9 @@
 Unit vectors are projected onto a few random axes. Each of several curves shifts and turns
 the projections, and a Hilbert index orders them; Spark range-partitions the rows by
 curve and index, so rows that follow each other in a partition are close. Every query is
-compared with the rows of a window around it on each curve, and the windows of all
+compared with the rows of a window around it on each curve, also over the border of a partition: the
+rows at the two sides of a border meet in a group of their own, two windows long at most (a partition shorter than a
+window hands on only its own rows). The windows of all
 curves are merged and reranked by the cosine of the original vectors.
 
 In few dimensions, or where vectors lie in groups, that finds the neighbours. For vectors
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -108,6 +111,8 @@ def _nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, rows: np.ndarray
 
 
 _FOUND = "query_id long, vec_id long, score double"
+# A row of a partition's first (side 0) or last rows (side 1), in order by ``at``; null in the rows found.
+_EDGE = "task int, side int, at int, curve int, id long, vector array<double>, query boolean"
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -144,59 +149,115 @@ def nearest_neighbours(
     turns = [np.linalg.qr(draw.normal(size=(size, size)))[0][:, :AXES] for _ in range(curves)]
     shifts = draw.uniform(-0.25, 0.25, (curves, min(AXES, size)))
 
-    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             matrix = _matrix(batch.column(1), size)
             unit = matrix / np.linalg.norm(matrix, axis=1)[:, None]
+            places = np.empty((len(unit), curves), np.int64)
             for c in range(curves):
                 # components of a unit vector are near 1 / sqrt(size); three of them each way make the cube
                 cube = (unit @ turns[c] * np.sqrt(size) / 3.0 + shifts[c] + 1.25) / 2.5
                 cell = np.clip(cube * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
-                index = hilbert(cell, BITS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(unit), c, np.int32)), pa.array(index), *batch.columns], ["curve", "place", "id", "vector", "query"]
-                )
+                places[:, c] = hilbert(cell, BITS)
+            listed = pa.ListArray.from_arrays(np.arange(len(unit) + 1, dtype=np.int32) * curves, pa.array(places.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, listed], ["id", "vector", "query", "places"])
 
-    curved = rows.mapInArrow(ordered, "curve int, place long, id long, vector array<double>, query boolean")
+    rows = materialize(rows.mapInArrow(placed, "id long, vector array<double>, query boolean, places array<long>"), "places")
+    curved = rows.select(F.posexplode("places").alias("curve", "place"), "id", "vector", "query")
     curved = curved.repartitionByRange("curve", "place", "id").sortWithinPartitions("curve", "place", "id")
+    seen = materialize(curved.mapInArrow(_windows(size, window, k), f"{_FOUND}, {_EDGE}"), "windows")
+    bridged = _bridged(seen.where("task IS NOT NULL"), window, k)
+    found = _best(seen.where("task IS NULL").select("query_id", "vec_id", "score").unionByName(bridged), k)
+    if exact:
+        found = materialize(found, "nearest-in-windows")
+        visited = _visited(rows, found, size, k)
+        found = _best(found.drop("rank").unionByName(visited), k)
+    return found
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        first = 0  # rows of ``held`` whose window has been read
 
-        def read(table: pa.Table, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
-            curve, ids = np.asarray(table["curve"]), np.asarray(table["id"])
-            asks = np.flatnonzero(np.asarray(table["query"])[lo:hi]) + lo
-            if not len(asks):
-                return
-            matrix = _matrix(table["vector"].combine_chunks(), size)
-            near = np.arange(-window, window + 1)  # the window of each query, itself left out
-            for part in np.array_split(asks, len(asks) // 64 + 1):
-                at = part[:, None] + near[None, :]
-                fits = (at >= 0) & (at < len(ids)) & (near != 0)
-                at = np.clip(at, 0, len(ids) - 1)
-                fits &= curve[at] == curve[part][:, None]
-                who, where = np.nonzero(fits)
-                row = at[who, where]
-                best = _ranked(ids[part[who]], ids[row], cosines(matrix, matrix, part[who], row), k)
-                yield pa.RecordBatch.from_pandas(best, preserve_index=False)
+def _in_windows(
+    curve: np.ndarray, ids: np.ndarray, query: np.ndarray, matrix: np.ndarray, lo: int, hi: int, window: int, k: int
+) -> Iterator[pd.DataFrame]:
+    """The k nearest rows of the queries from ``lo`` to ``hi``, each among the rows of its window."""
+    asks = np.flatnonzero(query[lo:hi]) + lo
+    near = np.arange(-window, window + 1)  # the window of each query, itself left out
+    for part in np.array_split(asks, len(asks) // 64 + 1):
+        at = part[:, None] + near[None, :]
+        fits = (at >= 0) & (at < len(ids)) & (near != 0)
+        at = np.clip(at, 0, len(ids) - 1)
+        fits &= curve[at] == curve[part][:, None]
+        who, where = np.nonzero(fits)
+        row = at[who, where]
+        yield _ranked(ids[part[who]], ids[row], cosines(matrix, matrix, part[who], row), k)
+
+
+def _windows(size: int, window: int, k: int):
+    """The best of the windows inside a sorted partition, and the rows at its two ends."""
+    blank = pa.schema([("task", pa.int32()), ("side", pa.int32()), ("at", pa.int32()), ("curve", pa.int32()), ("id", pa.int64()),
+                       ("vector", pa.list_(pa.float64())), ("query", pa.bool_())])
+    sought = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def filled(n: int, held: list[pa.Array | None]) -> pa.RecordBatch:
+        schema = pa.schema([*sought, *blank])
+        return pa.RecordBatch.from_arrays(
+            [pa.nulls(n, f.type) if a is None else a.cast(f.type) for f, a in zip(schema, held, strict=True)], schema=schema
+        )
+
+    def read(table: pa.Table, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+        query = np.asarray(table["query"])
+        if not query[lo:hi].any():
+            return
+        matrix = _matrix(table["vector"].combine_chunks(), size)
+        for best in _in_windows(np.asarray(table["curve"]), np.asarray(table["id"]), query, matrix, lo, hi, window, k):
+            yield filled(len(best), [*(pa.array(best[f.name].to_numpy()) for f in sought), *[None] * len(blank)])
+
+    def edge(table: pa.Table, side: int) -> pa.RecordBatch:
+        n = table.num_rows
+        task = pa.array(np.full(n, TaskContext.get().partitionId(), np.int32))
+        columns = [table[c].combine_chunks() for c in ("curve", "id", "vector", "query")]
+        return filled(n, [None, None, None, task, pa.array(np.full(n, side, np.int32)), pa.array(np.arange(n, dtype=np.int32)), *columns])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        first = 0  # rows of ``held`` whose window has been read
+        begun = False
         for batch in batches:
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
             ready = held.num_rows - window
             if ready > first + 4096:
+                if not begun:
+                    yield edge(held.slice(0, window), 0)
+                    begun = True
                 yield from read(held, first, ready)
                 drop = max(0, ready - window)
                 held, first = held.slice(drop), ready - drop
-        if held is not None:
+        if held is not None and held.num_rows:
+            if not begun:
+                yield edge(held.slice(0, window), 0)
+            yield edge(held.slice(max(0, held.num_rows - window)), 1)
             yield from read(held, first, held.num_rows)
 
-    found = materialize(_best(curved.mapInArrow(windows, _FOUND), k), "windows")
-    if exact:
-        visited = _visited(rows, curved.where("curve = 0"), found, size, k)
-        found = _best(found.drop("rank").unionByName(visited), k)
-    return found
+    return run
+
+
+def _bridged(edges: DataFrame, window: int, k: int) -> DataFrame:
+    """The best of the windows that reach over the border of two partitions, in groups of two windows at most."""
+    tasks = edges.select("task").distinct()  # a row per partition
+    tasks = tasks.select("task", F.lag("task").over(Window.orderBy("task")).alias("before")).where("before IS NOT NULL")
+    heads = edges.where("side = 0").join(tasks, "task").withColumn("border", F.col("before")).drop("before")
+    both = edges.where("side = 1").withColumn("border", F.col("task")).unionByName(heads)
+
+    def compared(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["side", "at"], ascending=[False, True])
+        query = rows["query"].to_numpy(bool)
+        if rows["side"].nunique() < 2 or not query.any():
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        matrix, ids, curve = np.stack(rows["vector"].to_numpy()), rows["id"].to_numpy(), rows["curve"].to_numpy()
+        return pd.concat(_in_windows(curve, ids, query, matrix, 0, len(rows), window, k))
+
+    columns = ["border", "side", "at", "curve", "id", "vector", "query"]
+    return both.select(*columns).groupBy("border", "curve").applyInPandas(compared, _FOUND)
 
 
 def _grouped(rows: DataFrame, name: str, per: int) -> DataFrame:
@@ -245,11 +306,13 @@ def _dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _visited(rows: DataFrame, ordered: DataFrame, found: DataFrame, size: int, k: int) -> DataFrame:
+def _visited(rows: DataFrame, found: DataFrame, size: int, k: int) -> DataFrame:
     """Neighbours in the blocks that the windows and the bounds leave open."""
+    placed = rows.select("id", "vector", "query", F.col("places")[0].alias("place"))
+    ordered = placed.repartitionByRange("place", "id").sortWithinPartitions("place", "id")
     blocks = _grouped(ordered.select("id", "vector"), "block", BLOCK)
     worst = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("worst"))
-    queries = ordered.where("query").select("id", "vector", "place").join(worst, "id", "left")
+    queries = placed.where("query").select("id", "vector", "place").join(worst, "id", "left")
     queries = materialize(queries.withColumn("worst", F.coalesce("worst", F.lit(-1.0))), "queries")
     chunks = _chunked(queries)
     of_block = materialize(_outline(blocks, "block", size), "block-outlines")

@@ -227,6 +227,25 @@ def test_neighbours_of_few_and_none(spark):
     assert nearest_neighbours(table.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_windows_reach_over_partition_borders(spark):
+    """The windows find the same in many partitions as in one."""
+    rng = np.random.default_rng(6)
+    table = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(1500)], "vec_id long, embedding array<double>")
+    settings = {"spark.sql.shuffle.partitions": None, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    found = []
+    try:
+        for parts in ("1", "7", "20"):
+            for name, value in settings.items():
+                spark.conf.set(name, value or parts)
+            near = nearest_neighbours(table, F.col("vec_id") % 3 == 0, window=20, curves=2, exact=False)
+            found.append(sorted(map(tuple, near.collect())))
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(found[0]) == 2500 and found[0] == found[1] == found[2]
+
+
 def test_hilbert_index_is_a_walk_of_unit_steps():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     index = hilbert(grid, 3)
