@@ -297,3 +297,67 @@ def test_cosine_join_equals_brute_force(ratings, least):
             want[a, b] = round(dot / norm[a] / norm[b], 9)
     got = {(r.item_1, r.item_2): round(r.score, 9) for r in similarity.cosine_join(df, least, chunk=9).collect()}
     assert got == want and want
+
+
+@pytest.mark.parametrize("least", [0.75, 0.9])
+def test_cosine_join_with_fronts_equals_the_filtered_one(ratings, least):
+    df, _ = ratings
+    every = similarity.cosine_join(df, 0.05, chunk=9).where(F.col("score") >= least).collect()
+    few = df.where("item < 4").withColumn("item", F.col("item") + 100)  # partners of themselves as they were
+    both = df.union(few)
+    got = {(r.item_1, r.item_2): round(r.score, 9) for r in similarity.cosine_join(both, least, chunk=9).collect()}
+    assert {p: s for p, s in got.items() if p[1] < 100} == {(r.item_1, r.item_2): round(r.score, 9) for r in every}
+    assert {(i, i + 100) for i in range(4)} <= set(got)
+
+
+@pytest.fixture(scope="module")
+def scattered(spark):
+    """200 users rate some 40 of 2,000 items each: 150,000 products, of nearly as many pairs."""
+    data = spark.range(8000).select((F.col("id") % 200).alias("user"), F.pmod(F.xxhash64("id"), F.lit(2000)).alias("item"))
+    return data.distinct().withColumn("rating", F.hash("user", "item") % 3 + 3.0).cache()
+
+
+def shuffled_rows(df):
+    """Rows that cross the shuffles of a collected frame."""
+    df.collect()
+    plan, total = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        p = plan.pop()
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            plan.append(p.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            plan.append(p.plan())
+        elif name == "ShuffleExchangeExec":
+            total += p.metrics().apply("shuffleRecordsWritten").value()
+        children = p.children()
+        plan += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+@pytest.mark.parametrize(
+    "run",
+    [
+        lambda df: similarity.cosine_join(df, 0.1),
+    ],
+    ids=["cosine_join"],
+)
+def test_products_of_pairs_cross_no_shuffle(scattered, run):
+    assert 0 < shuffled_rows(run(scattered)) < 5 * scattered.count()
+
+
+def test_a_user_in_chunks_meets_every_item_once(spark):
+    data = spark.range(200).select(F.lit(1).alias("user"), F.col("id").alias("item"), (F.col("id") + 1.0).alias("rating"))
+    data = data.union(data.where("item % 3 = 0").withColumn("user", F.lit(2)))
+    for chunk in (1_000, 30):
+        out = similarity.item_similarity(data, chunk=chunk).groupBy("strength").count().collect()
+        assert {r[0]: r[1] for r in out} == {1: 200 * 199 // 2 - 67 * 66 // 2, 2: 67 * 66 // 2}
+
+
+def test_popular_items_side_by_side_fall_into_many_blocks(spark):
+    rare = spark.range(1000).select(F.col("id").alias("user"), F.col("id").alias("item"))
+    popular = spark.range(20_000).select(F.col("id").alias("user"), (F.col("id") % 20 + 1000).alias("item"))
+    rated = rare.union(popular).withColumn("rating", F.lit(1.0))
+    blocks = similarity._item_blocks(rated, 1, 10, rated.count()).collect()
+    assert len(blocks) == 1020 and len({r.item for r in blocks}) == 1020
+    assert len({r.block for r in blocks if r.item >= 1000}) >= 5
