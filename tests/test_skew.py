@@ -342,8 +342,9 @@ def shuffled_rows(df):
         lambda df: similarity.item_similarity(df, min_strength=2),
         lambda df: similarity.item_similarity_above(df, 0.5, 1),
         lambda df: similarity.cosine_join(df, 0.1),
+        lambda df: similarity.best_partners(similarity.item_similarity(df), 1),
     ],
-    ids=["item_similarity", "supported", "above", "cosine_join"],
+    ids=["item_similarity", "supported", "above", "cosine_join", "best_partners"],
 )
 def test_products_of_pairs_cross_no_shuffle(scattered, run):
     assert 0 < shuffled_rows(run(scattered)) < 5 * scattered.count()
