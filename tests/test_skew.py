@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import re
 import random
 
 import pytest
@@ -365,3 +366,14 @@ def test_popular_items_side_by_side_fall_into_many_blocks(spark):
     blocks = similarity._item_blocks(rated, 1, 10, rated.count()).collect()
     assert len(blocks) == 1020 and len({r.item for r in blocks}) == 1020
     assert len({r.block for r in blocks if r.item >= 1000}) >= 5
+
+
+def test_lists_of_ratings_cross_one_shuffle_and_are_computed_once(scattered):
+    plan = final_plan(similarity.item_similarity(scattered))  # not run, so the initial plan alone
+    assert plan.count("Exchange hashpartitioning(user") == 1
+    assert "size(transform" not in plan
+
+
+def test_products_are_formed_item_by_item(scattered):
+    plan = final_plan(similarity.best_partners(similarity.item_similarity(scattered), 1))
+    assert re.search(r"Generate posexplode.*\n[^\n]*Sort \[a#\w+ ASC NULLS FIRST\], false", plan)
