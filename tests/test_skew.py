@@ -377,3 +377,43 @@ def test_lists_of_ratings_cross_one_shuffle_and_are_computed_once(scattered):
 def test_products_are_formed_item_by_item(scattered):
     plan = final_plan(similarity.best_partners(similarity.item_similarity(scattered), 1))
     assert re.search(r"Generate posexplode.*\n[^\n]*Sort \[a#\w+ ASC NULLS FIRST\], false", plan)
+
+
+def best_by_sorting(pairs, k):
+    """The k best partners of every item by plain Python: NaN first, nulls last, then strength and the smaller partner."""
+    sides = [r for a, b, s, n in pairs for r in ((a, b, s, n), (b, a, s, n))]
+    rank = lambda r: (r[2] is None, -math.inf if r[2] is None or math.isnan(r[2]) else -r[2], -r[3], r[1])
+    out = []
+    for _, rows_ in itertools.groupby(sorted(sides, key=lambda r: r[0]), key=lambda r: r[0]):
+        out += sorted(rows_, key=rank)[:k]
+    return sorted(map(str, out))
+
+
+@pytest.mark.parametrize("step, kept", [(1 << 19, 1 << 22), (50, 1 << 22), (20, 100)])
+def test_best_partners_of_a_task_equal_the_sorted_ones(spark, monkeypatch, step, kept):
+    pick = random.Random(3)
+    odd = [math.nan, None, -0.0, 0.0, -0.5]
+    pairs = [(a, b, pick.choice([0.25, 0.5, 1.0, pick.random(), *odd]), pick.randrange(1, 4)) for a in range(60) for b in range(a + 1, 60)]
+    pick.shuffle(pairs)
+    sim = spark.createDataFrame(pairs, "item_1 int, item_2 int, score double, strength bigint")
+    monkeypatch.setattr(similarity, "HELD_STEP", step)
+    monkeypatch.setattr(similarity, "HELD_ROWS", kept)
+    batches = sim.select("item_1", "item_2", "score", "strength").toArrow().to_batches(max_chunksize=30)
+    rows_left = sum(b.num_rows for b in similarity._best_of_task(4)(iter(batches)))
+    assert 4 * 60 <= rows_left < 2 * len(pairs)
+    got = similarity.best_partners(sim, 4)
+    assert got.schema.simpleString() == "struct<item:int,other:int,score:double,strength:bigint>"
+    plain = sorted(str((r.item, r.other, r.score if r.score != 0 else 0.0, r.strength)) for r in got.collect())
+    assert plain == best_by_sorting([(a, b, s if s != 0 else 0.0, n) for a, b, s, n in pairs], 4)
+
+
+def test_best_partners_of_items_with_names(spark):
+    sim = spark.createDataFrame([("a", "b", 0.5, 1), ("a", "c", 0.75, 1), ("b", "c", 0.25, 2)], "item_1 string, item_2 string, score double, strength bigint")
+    out = {(r.item, r.other) for r in similarity.best_partners(sim, 1).collect()}
+    assert out == {("a", "c"), ("b", "a"), ("c", "a")}
+
+
+def test_tasks_of_best_partners_do_not_grow_with_the_blocks(spark):
+    pairs = [(a, b, 1.0 / (1 + (a * b) % 7), 1) for a in range(100) for b in range(a + 1, 100)]
+    sim = spark.createDataFrame(pairs, "item_1 int, item_2 int, score double, strength bigint").repartition(400).cache()
+    assert shuffled_rows(similarity.best_partners(sim, 1)) <= similarity.BEST_TASKS * 100
