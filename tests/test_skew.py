@@ -417,3 +417,11 @@ def test_tasks_of_best_partners_do_not_grow_with_the_blocks(spark):
     pairs = [(a, b, 1.0 / (1 + (a * b) % 7), 1) for a in range(100) for b in range(a + 1, 100)]
     sim = spark.createDataFrame(pairs, "item_1 int, item_2 int, score double, strength bigint").repartition(400).cache()
     assert shuffled_rows(similarity.best_partners(sim, 1)) <= similarity.BEST_TASKS * 100
+
+
+def test_pairs_of_a_block_fit_a_small_task(scattered, monkeypatch):
+    assert similarity.BLOCK_PRODUCTS * 2 * 130 < 400e6  # a sum of a pair before and after it is final
+    monkeypatch.setattr(similarity, "BLOCK_PRODUCTS", 1_000)
+    sim = similarity.item_similarity(scattered)
+    makers = re.findall(r"Exchange hashpartitioning\(user#\w+, (\d+)\)", final_plan(sim))
+    assert "4" in makers and all(int(n) < 100 for n in makers)  # the lists of 150 blocks are not made by as many tasks
