@@ -425,3 +425,24 @@ def test_pairs_of_a_block_fit_a_small_task(scattered, monkeypatch):
     sim = similarity.item_similarity(scattered)
     makers = re.findall(r"Exchange hashpartitioning\(user#\w+, (\d+)\)", final_plan(sim))
     assert "4" in makers and all(int(n) < 100 for n in makers)  # the lists of 150 blocks are not made by as many tasks
+
+
+@pytest.mark.parametrize("least", [0.05, 0.4])
+def test_cosine_join_sends_ratings_as_they_are(spark, ratings, monkeypatch, least):
+    _, table = ratings
+    table = {(u, i): r * 10.0 ** (i % 9 - 4) for (u, i), r in table.items()}  # lengths far apart
+    df = spark.createDataFrame([(u, i, r) for (u, i), r in table.items()], "user int, item int, rating double")
+    written, plain = [], similarity.materialize
+    monkeypatch.setattr(similarity, "materialize", lambda d, label="table": written.append(label) or plain(d, label))
+    got = {(r.item_1, r.item_2): round(r.score, 9) for r in similarity.cosine_join(df, least, chunk=9).collect()}
+    vectors: dict = {}
+    for (u, i), r in table.items():
+        vectors.setdefault(i, {})[u] = r
+    norm = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in vectors.items()}
+    want = {}
+    for a, b in itertools.combinations(sorted(vectors), 2):
+        dot = sum(x * vectors[b].get(u, 0.0) for u, x in vectors[a].items())
+        if norm[a] and norm[b] and dot / norm[a] / norm[b] >= least:
+            want[a, b] = round(dot / norm[a] / norm[b], 9)
+    assert got == want and want
+    assert "unit" not in written
